@@ -71,10 +71,12 @@ class Pile:
         self.pieces: list[str] = []
         self.add(first)
 
-    def add(self, df: DataFrame) -> None:
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a piece and give it back as read."""
         at = f"{self.base}/{len(self.pieces)}"
         df.select(*self.schema.fieldNames()).write.parquet(at)
         self.pieces.append(at)
+        return self.spark.read.schema(self.schema).parquet(at)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.pieces)
