@@ -82,22 +82,18 @@ def plan_fragments(df: DataFrame, key: str, tasks: int | None = None) -> Fragmen
     """
     tasks = tasks or tasks_of(df.sparkSession)
     buckets = tasks * BUCKETS_PER_TASK
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    by_bucket = counts.groupBy(bucket_of(F.col("k"), buckets).alias("b")).agg(F.sum("n").alias("n"), F.max_by("k", "n").alias("k"), F.max("n").alias("top"))
-    rows = by_bucket.collect()  # one row per bucket
-    total = sum(r.n for r in rows)
+    rows = df.select(F.col(key).alias("k")).where("k is not null")
+    total = rows.count()
     share = max(1.0, total / tasks)
-    heavy: dict[str, int] = {}
-    if any(r.top > share / 4 for r in rows):
-        heavy = {r.k: r.n for r in counts.where(F.col("n") > math.floor(share / 4)).collect()}  # fewer than 4 * tasks rows
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    most = F.collect_list(F.when(F.col("n") > math.floor(share / 4), F.struct("k", "n")))  # fewer than 4 * tasks keys in all
+    by_bucket = counts.groupBy(bucket_of(F.col("k"), buckets).alias("b")).agg(F.sum("n").alias("n"), most.alias("most")).collect()
     load = [0] * buckets
-    for r in rows:
-        load[r.b] = r.n
-    if heavy:
-        spark = df.sparkSession
-        named = spark.createDataFrame([(k,) for k in heavy], counts.select("k").schema)
-        for r in named.select("k", bucket_of(F.col("k"), buckets).alias("b")).collect():
-            load[r.b] -= heavy[r.k]
+    heavy: dict[str, int] = {}
+    for r in by_bucket:
+        own = {x.k: x.n for x in r.most}
+        load[r.b] = r.n - sum(own.values())
+        heavy |= own
     items: list[tuple[int, str | int]] = [(n, b) for b, n in enumerate(load)]
     for k, n in heavy.items():
         pieces = max(1, math.ceil(n / (share / 2)))
