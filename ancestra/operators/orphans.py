@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ancestra.operators.skew import balanced_join
+from ancestra.operators.skew import FragmentPlan, balanced_join
 
 
 def references(rows: DataFrame, ident: str, fields: dict[str, str], at: str) -> DataFrame:
@@ -22,19 +22,19 @@ def references(rows: DataFrame, ident: str, fields: dict[str, str], at: str) ->
     return flat.groupBy("ident", "endpoint", "ref").agg(F.min("at").alias("at"))
 
 
-def missing(refs: DataFrame, keys: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+def missing(refs: DataFrame, keys: DataFrame, since: str | None = None, until: str | None = None, plan: FragmentPlan | None = None) -> DataFrame:
     """The rows of ``refs`` that no row of ``keys(ref, ...)`` satisfies, by left anti-join.
 
     With ``since`` and ``until`` a key counts only for references dated from
     ``since`` up to, not including, ``until`` (null: without end). A null date or
     a null ``since`` satisfies nothing. References are skewed (many rows name
-    one parent), so heavy ones are split over tasks and their few key rows copied.
+    one parent), so heavy ones are split over tasks and their few key rows copied (by ``plan`` if given).
     """
     on = None
     if since:
         tests = [F.col(since) <= F.col("at")] + ([F.col(until).isNull() | (F.col("at") < F.col(until))] if until else [])
         on = reduce(lambda a, b: a & b, tests)
-    return balanced_join(refs, keys.where("ref is not null").distinct(), "ref", "left_anti", on)
+    return balanced_join(refs, keys.where("ref is not null").distinct(), "ref", "left_anti", on, plan)
 
 
 def report(refs: DataFrame, lost: DataFrame, periods: DataFrame, period: str) -> DataFrame:

@@ -53,14 +53,19 @@ def _lifetimes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vertices").select(canon_hash("hash").alias("ref"), F.col("arrived").alias("since"), F.col("retired").alias("until"))
 
 
+def _lost(spark: SparkSession, d: str, refs: DataFrame) -> DataFrame:
+    loads = table(spark, d, "edges").select(F.explode(F.array(canon_hash("childvertexhash"), canon_hash("parentvertexhash"))).alias("ref"))
+    return orphans.missing(refs, _lifetimes(spark, d), "since", "until", skew.plan_fragments(loads, "ref"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    lost = orphans.missing(_references(spark, d), _lifetimes(spark, d), "since", "until")
+    lost = _lost(spark, d, _references(spark, d))
     return lost.select(F.col("ident").alias("edge_hash"), "endpoint").distinct()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     refs = _references(spark, d)
-    lost = orphans.missing(refs, _lifetimes(spark, d), "since", "until")
+    lost = _lost(spark, d, refs)
     when = table(spark, d, "edges").select(canon_hash("hash").alias("ident"), F.date_format("event_time", "yyyy-MM").alias("period")).where("ident is not null")
     return orphans.report(refs, lost, when, "period")
 
@@ -113,16 +118,17 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _endpoints(spark: SparkSession, d: str) -> DataFrame:
-    """(edge, key): the distinct pairs of an edge and ``child:``/``parent:`` with a vertex."""
-    e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("p")).where("edge is not null").distinct()
+    """(edge, key): an edge and ``child:``/``parent:`` with a vertex, for every row and endpoint."""
+    e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("p")).where("edge is not null")
     ends = F.explode(F.array(F.concat(F.lit("child:"), "c"), F.concat(F.lit("parent:"), "p"))).alias("key")
     return e.select("edge", ends).where("key is not null")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges").select(canon_hash("hash").alias("edge")).where("edge is not null").distinct().count()
-    ends = _endpoints(spark, d).distinct()
-    n = skew.balanced_counts(ends, "key", "n_edges")
+    ends = _endpoints(spark, d)
+    plan = skew.plan_fragments(ends, "key")  # repeated rows only make the estimate of a load a little larger
+    n = skew.balanced_counts(ends.distinct(), "key", "n_edges", plan)
     return n.where(F.col("n_edges") * 100 >= edges).select(F.substring_index("key", ":", 1).alias("endpoint"), F.substring_index("key", ":", -1).alias("vertex_hash"), "n_edges")
 
 
@@ -131,7 +137,8 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("vertex_hash"))
     e = e.where("edge is not null and vertex_hash is not null").distinct()
     v = table(spark, d, "vertices").select(canon_hash("hash").alias("vertex_hash"), F.lower(F.col("annotations")["type"]).alias("t")).where("vertex_hash is not null").groupBy("vertex_hash").agg(F.min("t").alias("vertex_type"))
-    both = skew.balanced_join(e, v, "vertex_hash")
+    loads = table(spark, d, "edges").select(canon_hash("parentvertexhash").alias("vertex_hash"))
+    both = skew.balanced_join(e, v, "vertex_hash", plan=skew.plan_fragments(loads, "vertex_hash"))
     pairs = both.groupBy("vertex_hash", "vertex_type", "c").agg(F.count("*").alias("n"))
     return pairs.groupBy("vertex_hash", "vertex_type").agg(F.sum("n").alias("n_edges"), F.count("c").alias("n_children"))
 
