@@ -2,10 +2,9 @@
 
 One Arrow pass reads each JSON text and writes it back in one spelling:
 wrappers that only name a type are dropped and named arrays become plain
-arrays however they were written. From there on all work is in the JVM. The
-merged schema of all records is inferred by one aggregation of variant
-types; it tells which array stands where. Each array level is then exploded
-into child items that carry record key, parent path and ordinal, level by
+arrays however they were written. The merged schema of all records is inferred
+first, as the distinct places of arrays, each task giving what it met once; it
+tells which array stands where. From there on all work is in the JVM: each array level is exploded into child items that carry record key, parent path and ordinal, level by
 level within one projection, so no level is read twice and nothing is
 shuffled. ``child_table`` gives the flat table of one array.
 """
@@ -72,15 +71,27 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
-def canonical_text(text: str | None, arrays: frozenset[str]) -> str | None:
-    """One record's text in one spelling; None if it isn't one complete JSON object."""
+def _finite(text: str) -> float | str:
+    """A number, or its text where no double holds it."""
+    x = float(text)
+    return text if x in (float("inf"), float("-inf")) else x
+
+
+def canonical_value(text: str | None, arrays: frozenset[str]) -> dict | None:
+    """One record in one spelling; None if its text isn't one complete JSON object, or nests too deep for the parser."""
     if text is None:
         return None
     try:
-        body = canonical(json.loads(text, parse_constant=_refuse), arrays)
+        body = canonical(json.loads(text, parse_constant=_refuse, parse_float=_finite), arrays)
     except (ValueError, RecursionError):
         return None
-    return json.dumps(body, ensure_ascii=False, separators=(",", ":")) if isinstance(body, dict) else None
+    return body if isinstance(body, dict) else None
+
+
+def canonical_text(text: str | None, arrays: frozenset[str]) -> str | None:
+    """The text of ``canonical_value``."""
+    body = canonical_value(text, arrays)
+    return None if body is None else json.dumps(body, separators=(",", ":"))
 
 
 def normalise(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFrame:
@@ -97,52 +108,62 @@ def normalise(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFram
     return flat.where("body is not null").select(key, F.try_parse_json("body").alias("body"))
 
 
-def schema_text(bodies: DataFrame) -> str:
-    """The merged schema of all bodies, as text such as ``OBJECT<a: ARRAY<STRING>>``; empty for an empty table."""
-    row = bodies.agg(F.schema_of_variant_agg("body").alias("s")).first()
-    return row.s or ""
-
-
 @dataclass
 class Node:
+    """What stands somewhere in any record: fields if it is ever an object, an item if it is ever an array."""
+
     fields: dict[str, Node]
     item: Node | None
 
 
-def parse_schema(text: str) -> Node:
-    """The tree of a merged schema text."""
-    at = 0
-
-    def node() -> Node:
-        nonlocal at
-        if text.startswith("OBJECT<", at):
-            at += 7
-            fields = {}
-            while text[at] != ">":
-                if text[at] == "`":
-                    end = at + 1
-                    while text[end] != "`" or text[end + 1 : end + 2] == "`":
-                        end += 2 if text[end] == "`" else 1
-                    name, at = text[at + 1 : end].replace("``", "`"), end + 1
-                else:
-                    end = text.index(":", at)
-                    name, at = text[at:end], end
-                at = at + (2 if text.startswith(": ", at) else 1)
-                fields[name] = node()
-                if text.startswith(", ", at):
-                    at += 2
-            at += 1
-            return Node(fields, None)
-        if text.startswith("ARRAY<", at):
-            at += 6
-            item = node()
-            at += 1
-            return Node({}, item)
-        end = re.compile(r"[^,>]*(\([^)]*\))?").match(text, at).end()
-        at = end
-        return Node({}, None)
-
-    return node() if text else Node({}, None)
+def _shape(value, way: tuple[str, ...], arrays: frozenset[str], out: set[tuple[str, ...]]) -> None:
+    """Adds the ways to all named arrays; keys that lead to none are no part of the schema, so maps with free keys stay out of it."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            here = (*way, "." + k)
+            if isinstance(v, list):
+                here = (*here, "[")
+                if k in arrays:
+                    out.add(here)
+                for x in v:
+                    _shape(x, here, arrays, out)
+            else:
+                _shape(v, here, arrays, out)
+
+
+def infer_schema(df: DataFrame, text: str, arrays: list[str], most: int = 100_000) -> Node:
+    """The merged schema of all records: places that hold objects in some and arrays or text in others keep all of it.
+
+    Each task gives every place of a named array once; what reaches the driver are the
+    distinct places. More than ``most`` of them mean that keys are data and not a schema, and raise ValueError.
+    """
+    names = frozenset(arrays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, ...]] = set()
+        for b in batches:
+            own: set[tuple[str, ...]] = set()
+            for t in b.column(0).to_pylist():
+                body = canonical_value(t, names)
+                if body is not None:
+                    _shape(body, (), names, own)
+            if new := own - seen:
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(w) for w in new], pa.string())], names=["way"])
+                seen |= new
+
+    rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "way string").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} places in the records' schema")
+    root = Node({}, None)
+    for way in sorted(tuple(json.loads(r.way)) for r in rows):
+        at = root
+        for step in way:
+            if step == "[":
+                at.item = at.item or Node({}, None)
+                at = at.item
+            else:
+                at = at.fields.setdefault(step[1:], Node({}, None))
+    return root
 
 
 def array_fields(node: Node, arrays: frozenset[str], prefix: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], Node]]:
@@ -150,10 +171,9 @@ def array_fields(node: Node, arrays: frozenset[str], prefix: tuple[str, ...] = (
     out = []
     for name, sub in node.fields.items():
         way = (*prefix, name)
-        if name in arrays and sub.item is not None:
-            out.append((way, sub.item))
-        elif sub.item is not None:
-            continue
+        if name in arrays:
+            if sub.item is not None:
+                out.append((way, sub.item))
         else:
             out += array_fields(sub, arrays, way)
     return out
@@ -169,7 +189,7 @@ def _merged(nodes: list[Node]) -> Node:
 
 
 def _json_path(way: tuple[str, ...]) -> str:
-    return "$" + "".join("['" + w.replace("\\", "\\\\").replace("'", "\\'") + "']" for w in way)
+    return "$" + "".join(f'["{w}"]' if "'" in w else f"['{w}']" for w in way)
 
 
 def _children(item: Column, ways: list[tuple[str, ...]]) -> Column:
@@ -197,16 +217,15 @@ def _next_level(level: Column, ways: list[tuple[str, ...]]) -> Column:
     return F.flatten(F.transform(level, lambda x: _children(x, ways)))
 
 
-def explode_levels(bodies: DataFrame, key: str, arrays: list[str], schema: str | None = None) -> DataFrame:
+def explode_levels(bodies: DataFrame, key: str, arrays: list[str], schema: Node) -> DataFrame:
     """(key, item_path, parent_path, field, ordinal, item): every non-null item of the named arrays at any depth.
 
-    ``schema`` is the merged schema (inferred if not given). Null items count
+    ``schema`` is the merged schema of the bodies. Null items count
     for ordinals and paths, but give no rows. An empty table gives no rows.
     """
     names = frozenset(arrays)
-    root = parse_schema(schema if schema is not None else schema_text(bodies))
     start = F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("parent"), F.lit("").alias("field"), F.lit(0).alias("ordinal"), F.col("body").alias("v")))
-    level, out = [root], bodies.select(key, start.alias("level"))
+    level, out = [schema], bodies.select(key, start.alias("level"))
     seen: list[str] = []
     for depth in range(MAX_LEVELS + 1):
         found = [x for n in level for x in array_fields(n, names)]
@@ -226,7 +245,7 @@ def explode_levels(bodies: DataFrame, key: str, arrays: list[str], schema: str |
 
 def nested_items(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFrame:
     """Items of all named arrays of JSON texts; see ``explode_levels``. Null and broken texts give no rows."""
-    return explode_levels(normalise(df, key, text, arrays), key, arrays)
+    return explode_levels(normalise(df, key, text, arrays), key, arrays, infer_schema(df, text, arrays))
 
 
 def child_table(items: DataFrame, key: str, field: str, columns: dict[str, str]) -> DataFrame:
