@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ancestra.functions.earley import Grammar
+from ancestra.session import stored
 
 #: The layouts. Fields: ts, zone, level, component, message; level2 is a level that belongs to the head before it.
 LAYOUTS = r"""
@@ -169,8 +170,10 @@ def with_entry(lines: DataFrame, file: str, no: str, ident: str) -> DataFrame:
     """Parsed lines with ``entry_no`` and ``entry_id``: number and id of the head each belongs to.
 
     Lines are in order of (``no``, ``ident``) within ``file``. Lines before a file's
-    first head, and lines without file or number, belong to no entry and are left out.
+    first head, and lines without file or number, belong to no entry and are left out. The
+    parsed lines are written to the shared folder first: two branches read them, and parsing is the dear part.
     """
+    lines = stored(lines)
     lines = lines.where(F.col(file).isNotNull() & F.col(no).isNotNull()).withColumn("__block", F.floor(F.col(no) / BLOCK))
     here = F.when(F.col("head"), F.struct(F.col(no).alias("no"), F.col(ident).alias("id")))
     before = Window.partitionBy(file, "__block").orderBy(no, ident).rowsBetween(Window.unboundedPreceding, 0)
