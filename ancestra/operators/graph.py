@@ -334,7 +334,7 @@ class Graph:
         e = self.edge_rows
         v = self.vertex_rows
         ends = e.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
-        bare = _anti(ends, self.v).select("id", F.create_map().cast("map<string,string>").alias("annotations"), F.lit(True).alias("ref"))
+        bare = _anti(ends, v).select("id", F.create_map().cast("map<string,string>").alias("annotations"), F.lit(True).alias("ref"))
         return v.select("id", "annotations", "ref").unionByName(bare), e
 
     def rows(self) -> DataFrame:

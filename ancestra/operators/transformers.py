@@ -426,7 +426,7 @@ def encryption(rows: DataFrame, keys: dict[str, str], level: str = "low") -> Dat
 
 def arguments(text: str) -> dict[str, str]:
     """``k=v k="v v"`` as a dict."""
-    return {m[1]: m[2] if m[2] is not None else m[3] for m in re.finditer(r'([\w ]*\w)\s*=\s*(?:"([^"]*)"|([^\s,]+))', text or "")}
+    return {m[1].strip(): m[2] if m[2] is not None else m[3] for m in re.finditer(r'([\w ]*\w)\s*=\s*(?:"([^"]*)"|([^\s,]+))', text or "")}
 
 
 #: Paths of no interest (temporary, unnamed, standard streams, libraries and settings).

@@ -46,7 +46,8 @@ def of_type(a: str, *types: str) -> Column:
 
 
 def add_annotation(rows: DataFrame, new: dict[str, str]) -> DataFrame:
-    """The given annotations on every element and end; they replace those of the same name."""
+    """The given annotations on every element, also one without any, and on ends that are known; they replace those of the same name."""
+    rows = rows.withColumn("annotations", F.coalesce("annotations", F.create_map().cast(MAP)))
     more = F.create_map(*[F.lit(x) for kv in new.items() for x in kv])
     return _both(rows, lambda a: F.when(a.isNull(), a).otherwise(F.map_concat(F.map_filter(a, lambda k, v: ~k.isin(list(new))), more)))
 
