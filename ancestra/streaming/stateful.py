@@ -15,34 +15,37 @@ def deduplicate(rows: DataFrame, at: str = "event_time", late: str = "1 hour") -
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["id"])
 
 
-def drop_repeat_edges(rows: DataFrame, by: list[str], idle_ms: int = 3_600_000) -> DataFrame:
+def drop_repeat_edges(rows: DataFrame, by: list[str], late: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """(seq, child, parent, by_0, ...) of edges whose ``by`` annotations differ from those of the edge before between the same ends.
 
-    The state of a pair of ends is one text, and is dropped after ``idle_ms`` without an edge.
+    The state of a pair of ends is one text, and is dropped when the watermark is ``idle_ms`` past its last edge.
     """
     names = [f"by_{i}" for i in range(len(by))]
-    flat = rows.where("kind = 'edge'").select("seq", "child", "parent", *[F.col("annotations")[k].alias(n) for k, n in zip(by, names, strict=True)])
+    out = ["seq", "child", "parent", *names]
+    flat = rows.where("kind = 'edge'").withWatermark("event_time", late).select("seq", "child", "parent", *[F.col("annotations")[k].alias(n) for k, n in zip(by, names, strict=True)], "event_time")
     schema = "seq bigint, child string, parent string" + "".join(f", {n} string" for n in names)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last, until = state.get if state.exists else (None, 0)
         for part in parts:
             keep = []
             for row in part.sort_values("seq").itertuples(index=False):
                 now = repr(tuple(None if pd.isna(getattr(row, n)) else getattr(row, n) for n in names))
                 if now != last:
-                    keep.append(row)
+                    keep.append(tuple(getattr(row, c) for c in out))
                 last = now
+            times = part["event_time"].dropna()
+            if len(times):
+                until = max(until, int(times.max().timestamp() * 1000) + idle_ms)
             if keep:
-                yield pd.DataFrame(keep, columns=part.columns)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutDuration(idle_ms)
+                yield pd.DataFrame(keep, columns=out)
+        state.update((last, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
-    return flat.groupBy("child", "parent").applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return flat.groupBy("child", "parent").applyInPandasWithState(run, schema, "last string, until bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def nearest_calls(edges: DataFrame, calls: DataFrame, key: str, window: str, late: str = "1 minute") -> DataFrame:
