@@ -35,8 +35,9 @@ def parents_of(links: DataFrame, child: str = "child", parent: str = "parent") -
     return both.groupBy("v").agg(F.min("p").alias("p"))
 
 
-def _coin(v: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(v, F.lit(k)), F.lit(2))
+def _lot(v: str, k: int) -> Column:
+    """A vertex's random number in round ``k``."""
+    return F.xxhash64(F.col(v), F.lit(k))
 
 
 def _hot_parents(nodes: DataFrame, tasks: int) -> list[str]:
@@ -68,21 +69,21 @@ def resolve(links: DataFrame, child: str = "child", parent: str = "parent") -> D
     for k in range(MAX_ROUNDS):
         kids = live.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("nc"), F.min("v").alias("c"))
         seen = live.join(kids, "v", "left").withColumn("nc", F.coalesce("nc", F.lit(0)))
-        chosen = (F.col("nc") == 1) & (_coin(F.col("v"), k) == 1) & (_coin(F.col("c"), k) == 0)
-        seen = cut(seen.withColumn("out", F.when(F.col("nc") == 0, "leaf").when(chosen, "link")))
+        # a vertex with one child whose lot is smaller than its child's and its parent's: no two neighbours are chosen
+        chosen = (F.col("nc") == 1) & (_lot("v", k) < _lot("c", k)) & (_lot("v", k) < _lot("p", k))
+        seen = seen.withColumn("out", F.when(F.col("nc") == 0, "leaf").when(chosen, "link"))
         spliced = seen.where("out = 'link'").select(F.col("c").alias("v"), F.col("v").alias("u"), F.col("p").alias("p2"), F.col("w").alias("w2"), F.col("m").alias("m2"))
-        after = seen.where("out is null or out = 'leaf'").join(spliced, "v", "left")
         moved = F.col("u").isNotNull()
-        after = after.select(
+        after = seen.join(spliced, "v", "left").select(
             "v",
             F.when(moved, F.col("p2")).otherwise(F.col("p")).alias("p"),
             F.when(moved, F.col("w") + F.col("w2")).otherwise(F.col("w")).alias("w"),
             F.when(moved, F.least("m", "m2", "u")).otherwise(F.col("m")).alias("m"),
+            F.when(F.col("out") == "link", F.col("c")).alias("c"),
             "out",
         )
-        after = cut(after)
-        gone = after.where("out = 'leaf'").select("v", "p", "w", F.lit(None).cast("string").alias("c"))
-        left.append(gone.unionByName(seen.where("out = 'link'").select("v", "p", "w", "c")))
+        after = cut(after)  # the round's only job
+        left.append(after.where("out is not null").select("v", "p", "w", "c"))
         done.append(after.where("out is null and v = p").select("v", F.least("v", "m").alias("root"), F.lit(1).alias("on_cycle")))
         live = after.where("out is null and v <> p").select("v", "p", "w", "m")
         if live.isEmpty():
