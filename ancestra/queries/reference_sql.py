@@ -155,6 +155,7 @@ SQL = {
     "r_lineage_both": _lineage(2, "ad"),
     "r_path": _out("select id from x_v", "select id from x_e", f"{START}, {FILES}, {path('x', 'start', 'files', 3)}", True),
     "r_path_legs": _out("select id from x_v union select id from y_v", "select id from x_e union select id from y_e", f"{START}, {FILES}, via as (select id from v where a['name'] = 'loomd'), {path('x', 'start', 'via', 2)}, mid as (select id from x_v where id in (select id from via)), {path('y', 'mid', 'files', 2)}", True),
+    "r_shortest_path": _out("select id from xv", "select id from xe", f"{START}, sock as (select id from v where a['subtype'] = 'network socket'), {levels('f', 'start', 6, 'c', 'p')}, {levels('t', 'sock', 6, 'p', 'c')}, best as (select min(f.d) as d from f join sock using (id)), xe as (select e.* from e join f on f.id = e.c join t on t.id = e.p where f.d + 1 + t.d <= (select d from best)), xv as (select c as id from xe union select p from xe union select id from start where id in (select id from sock))", True),
     "r_link": _out("select id from mid", "select id from e where c in (select id from mid) and p in (select id from mid)", f"{START}, sock as (select id from v where a['protocol'] = 'tcp'), u as (select c, p from e union select p, c from e), {levels('f', 'start', 2, 'c', 'p', 'u')}, {levels('b', 'sock', 2, 'c', 'p', 'u')}, mid as (select f.id from f join b using (id) where f.d + b.d <= 2)", True),
     "r_subgraph": _out("select id from q", "select id from e where c in (select id from q) and p in (select id from q)", "q as (select id from v where a['type'] = 'Process')"),
     "r_span": _out("select id from q", "select id from e where c in (select id from q) and p in (select id from q)", "q as (select id from v where id in (select unnest([c, p]) from e where a['operation'] = 'fork'))"),

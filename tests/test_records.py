@@ -186,7 +186,7 @@ LINES = [
     ("a", 6, "\tselect 1"),
     ("a", 7, "2023-04-26 14:49:14.362 CET [2] quill shell DEBUG1:  y"),
     ("b", 1, "2023-05-29 13:32:18.559+0530 WARN  [o.q.b.WireServer] queue [x]"),
-    ("b", 2, "May 29, 2023 12:02:23 PM spade.screen.Eddy <init>"),
+    ("b", 2, "May 29, 2023 12:02:23 PM app.screen.Eddy <init>"),
     ("b", 3, "SEVERE: queue above limit"),
     ("b", 4, "INFO: no level any more"),
     ("b", 5, "node=n1 type=SYSCALL msg=audit(1685347041.070:99): arch=c0"),
@@ -210,7 +210,7 @@ def test_log_entries(spark):
         (4, "04-26 14:49:14", "INFO", "[unknown]", 2),
         (6, "04-26 13:49:14", "DEBUG", "quill shell", 1),
         (7, "05-29 08:02:18", "WARN", "o.q.b.WireServer", 1),
-        (8, "05-29 12:02:23", "ERROR", "spade.screen.Eddy", 3),
+        (8, "05-29 12:02:23", "ERROR", "app.screen.Eddy", 3),
         (11, "05-29 07:57:21", "", "SYSCALL", 1),
         (12, "05-29 07:55:31", "", "EOE", 1),
         (13, "05-29 07:58:31", "INFO", "PlanRunner.cpp", 1),
