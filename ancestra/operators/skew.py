@@ -119,19 +119,32 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     match exactly once. Null keys match nothing: inner and left_semi leave
     them out, left and left_anti keep them. The key comes out once, from the
     left; other columns must have different names on the two sides (raises
-    ValueError), as no choice between clashing columns is right.
+    ValueError), as no choice between clashing columns is right. Semi and anti
+    joins give no columns of ``right``, so there clashing ones are dropped.
+
+    Spark joins rows where ``repartitionById`` put them. It would push a semi or anti join
+    below that, so an anti join is written as a left join without matches, and a semi join
+    as an inner join with distinct keys; only a semi join with ``on`` costs one shuffle more.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how: {how}")
     if how in ("inner", "left") and (clash := (set(left.columns) & set(right.columns)) - {key}):
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     plan = plan or plan_fragments(left, key)
+    if how in ("left_semi", "left_anti"):
+        right = right.drop(*(set(left.columns) & set(right.columns)) - {key})
+    if how == "left_semi" and on is None:
+        right = right.select(key).distinct()
+    kind = {"left_anti": "left", "left_semi": "inner" if on is None else "left_semi"}.get(how, how)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith(("map", "variant"))])
     a = left.withColumn("__task", plan.task(F.col(key), spread)).repartitionById(plan.tasks, F.col("__task"))
     b = right.where(F.col(key).isNotNull()).withColumn("__to", F.explode(plan.task_list(F.col(key)))).withColumnRenamed(key, "__key")
     b = b.repartitionById(plan.tasks, F.col("__to"))
     cond = [F.col("__task") == F.col("__to"), F.col(key) == F.col("__key")] + ([on] if on is not None else [])
-    return a.join(b, reduce(lambda x, y: x & y, cond), how).drop("__task", "__to", "__key")
+    both = a.join(b, reduce(lambda x, y: x & y, cond), kind)
+    if how == "left_anti":
+        both = both.where("__to is null")
+    return both.select(*left.columns) if how in ("left_semi", "left_anti") else both.drop("__task", "__to", "__key")
 
 
 def balanced_counts(df: DataFrame, key: str, out: str = "n", plan: FragmentPlan | None = None) -> DataFrame:
