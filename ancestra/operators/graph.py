@@ -9,13 +9,12 @@ ancestors follow child to parent.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ancestra.functions.predicates import Predicate, has_keys
-from ancestra.session import Pile, stored
+from ancestra.session import Pile, cut, stored
 
 #: Hops after which a walk without a stated depth ends at the latest.
 UNBOUNDED = 1 << 20
@@ -356,28 +355,25 @@ def _levels(steps: DataFrame, start: DataFrame, limit: int) -> DataFrame:
 
 
 def _ranked(ids: DataFrame, start: int, end: int | None) -> DataFrame:
-    """Ids with rank in [start, end): sorted by range over all tasks, ranked within each partition from its offset.
+    """Ids with rank in [start, end): sorted by range over all tasks; a rank is a partition's offset and the place within it.
 
     The only thing on the driver is one count a partition.
     """
-    ids = ids.distinct()
-    rows = stored(ids.withColumn("h", F.substring("id", 1, 2)))
-    counts = {r.h: r["count"] for r in rows.groupBy("h").count().collect()}  # at most one row per two leading characters
+    rows = cut(ids.distinct().orderBy("id")).withColumn("m", F.monotonically_increasing_id())
+    part = F.shiftright("m", 33).cast("int")
+    counts = dict(rows.groupBy(part.alias("p")).count().collect())  # one row a partition
     n = sum(counts.values())
     lo = start + n if start < 0 else start
     hi = n if end is None else end + n if end < 0 else end
     if lo < 0 or hi > n or lo >= hi:
         raise ValueError(f"[{start}, {end}) is out of the bounds of {n} elements")
-    at, offsets = 0, {}
-    for h in sorted(counts, key=lambda x: x.encode()):
-        offsets[h] = at
-        at += counts[h]
-    near = [h for h in offsets if offsets[h] < hi and offsets[h] + counts[h] > lo]
-    from pyspark.sql import Window
-
-    base = reduce(lambda acc, h: F.when(F.col("h") == h, F.lit(offsets[h])).otherwise(acc), near, F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("id")) - 1 + base
-    return rows.where(F.col("h").isin(near)).withColumn("k", rank).where((F.col("k") >= lo) & (F.col("k") < hi)).select("id")
+    at, offsets = 0, [0] * (max(counts) + 1)
+    for p in sorted(counts):
+        offsets[p] = at
+        at += counts[p]
+    base = F.element_at(F.from_json(F.lit(str(offsets)), "array<bigint>"), part + 1)
+    rank = base + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("k", rank).where((F.col("k") >= lo) & (F.col("k") < hi)).select("id")
 
 
 def annotation(c: str) -> Column:
