@@ -110,6 +110,12 @@ def plan_fragments(df: DataFrame, key: str, tasks: int | None = None) -> Fragmen
     return FragmentPlan(tasks, buckets, bucket_task, shards, [n for n, _ in sorted(heap, key=lambda x: x[1])])
 
 
+def _unused(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", on: Column | None = None, plan: FragmentPlan | None = None) -> DataFrame:
     """Join ``left`` with ``right`` on a text column ``key`` of both, with heavy keys split over tasks.
 
@@ -118,9 +124,8 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     ``right`` copied to the shards of their key, so each left row meets every
     match exactly once. Null keys match nothing: inner and left_semi leave
     them out, left and left_anti keep them. The key comes out once, from the
-    left; other columns must have different names on the two sides (raises
-    ValueError), as no choice between clashing columns is right. Semi and anti
-    joins give no columns of ``right``, so there clashing ones are dropped.
+    left; a column of ``right`` with the name of one of ``left`` comes out with
+    ``_right`` after it, and in ``on`` the name means the left one.
 
     Spark joins rows where ``repartitionById`` put them. It would push a semi or anti join
     below that, so an anti join is written as a left join without matches, and a semi join
@@ -128,11 +133,12 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how: {how}")
-    if how in ("inner", "left") and (clash := (set(left.columns) & set(right.columns)) - {key}):
-        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    clash = (set(left.columns) & set(right.columns)) - {key}
+    if how in ("inner", "left"):
+        right = right.withColumnsRenamed({c: _unused(f"{c}_right", {*left.columns, *right.columns}) for c in clash})
+    else:
+        right = right.drop(*clash)
     plan = plan or plan_fragments(left, key)
-    if how in ("left_semi", "left_anti"):
-        right = right.drop(*(set(left.columns) & set(right.columns)) - {key})
     if how == "left_semi" and on is None:
         right = right.select(key).distinct()
     kind = {"left_anti": "left", "left_semi": "inner" if on is None else "left_semi"}.get(how, how)

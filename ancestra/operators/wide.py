@@ -53,13 +53,16 @@ def reduced(df: DataFrame, ident: list[str], field: str, value: str) -> DataFram
     whole number that all values denoting one agree on, ``real`` the number
     likewise (null if they contradict each other or none is one), ``text`` the
     smallest non-blank text, ``n_values`` the count of non-null values. Rows with
-    a null entity or a null or blank attribute are left out.
+    a null entity or a null or blank attribute are left out. Entity columns named like
+    one of the results raise ValueError; further columns are ignored.
     """
-    rows = df.select(*ident, canon_name(field).alias("field"), whole_number(F.col(value)).alias("w"), real_number(F.col(value)).alias("r"), F.nullif(F.btrim(F.col(value), F.lit(BLANKS)), F.lit("")).alias("t"))
+    if clash := set(ident) & {"field", "whole", "real", "text", "n_values"}:
+        raise ValueError(f"entity columns have names of results: {sorted(clash)}")
+    rows = df.select(*ident, canon_name(field).alias("field"), whole_number(F.col(value)).alias("__w"), real_number(F.col(value)).alias("__r"), F.nullif(F.btrim(F.col(value), F.lit(BLANKS)), F.lit("")).alias("__t"))
     rows = rows.dropna(subset=[*ident, "field"])
-    per = rows.groupBy(*ident, "field").agg(F.min("w").alias("w0"), F.max("w").alias("w1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("t").alias("text"), F.count("t").alias("n_values"))
-    fits = F.col("w0").between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)"))
-    return per.select(*ident, "field", F.when((F.col("w0") == F.col("w1")) & fits, F.col("w0").cast("bigint")).alias("whole"), F.when(F.col("r0") == F.col("r1"), F.col("r0")).alias("real"), "text", "n_values")
+    per = rows.groupBy(*ident, "field").agg(F.min("__w").alias("__w0"), F.max("__w").alias("__w1"), F.min("__r").alias("__r0"), F.max("__r").alias("__r1"), F.min("__t").alias("text"), F.count("__t").alias("n_values"))
+    fits = F.col("__w0").between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)"))
+    return per.select(*ident, "field", F.when((F.col("__w0") == F.col("__w1")) & fits, F.col("__w0").cast("bigint")).alias("whole"), F.when(F.col("__r0") == F.col("__r1"), F.col("__r0")).alias("real"), "text", "n_values")
 
 
 def attribute_types(per: DataFrame, least_share: float = 0.9) -> list[tuple[str, str]]:

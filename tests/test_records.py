@@ -54,6 +54,13 @@ def test_paths_and_descendants(spark):
     assert n == {"a": 3, "b": 2, "c": 0, "d": 0, "r": 0}
 
 
+def test_a_parent_of_most_rows(spark):
+    links = spark.range(3000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("child"), F.lit("hub").alias("parent"))
+    links = links.unionByName(spark.createDataFrame([("hub", "top"), ("x", "c7")], "child string, parent string"))
+    got = hierarchy.resolve(links).groupBy("root", "depth").count()
+    assert rows(got) == [("top", 0, 1), ("top", 1, 1), ("top", 2, 3000), ("top", 3, 1)]
+
+
 def test_hierarchy_of_an_empty_table(spark):
     assert hierarchy.resolve(spark.createDataFrame([], "child string, parent string")).collect() == []
 
@@ -140,7 +147,7 @@ def test_whole_numbers(spark, text, want):
 
 def test_pivot_to_typed_columns(spark):
     data = [(1, "A", "1"), (1, " a ", "01"), (1, "b", "x"), (2, "a", "2"), (2, "A", "3"), (2, "c", "1.5"), (3, "B", None), (3, "b", ""), (None, "a", "1"), (4, None, "1"), (5, "id", "9")]
-    df = spark.createDataFrame(data, "id bigint, field string, value string")
+    df = spark.createDataFrame(data, "id bigint, field string, value string").withColumns({"w": F.lit(1), "text": F.lit(None)})
     per = wide.reduced(df, ["id"], "field", "value")
     out = wide.pivot_wide(per, ["id"], [("a", "bigint"), ("b", "string"), ("c", "double"), ("id", "bigint")])
     assert {r[0]: tuple(r)[1:] for r in out.collect()} == {1: (1, "x", None, None), 2: (None, None, 1.5, None), 3: (None, None, None, None), 5: (None, None, None, 9)}
@@ -250,8 +257,9 @@ def test_fragments_spread_heavy_keys(spark):
     assert skew.balanced_join(df, right, "key", "left_anti").count() == 299 + 50
     assert skew.balanced_join(df, right, "key", "left_semi").count() == 901
     assert skew.balanced_join(df, right, "key", "left").count() == 1801 + 299 + 50
+    assert skew.balanced_join(df, right.withColumnRenamed("v", "n"), "key").columns == ["key", "n", "n_right"]
     with pytest.raises(ValueError):
-        skew.balanced_join(df, right.withColumnRenamed("v", "n"), "key")
+        skew.balanced_join(df, right, "key", "outer")
     assert skew.balanced_join(df.limit(0), right, "key").count() == 0
     sizes = df.withColumn("__t", plan.task(F.col("key"), F.xxhash64("n"))).repartitionById(8, F.col("__t")).rdd.glom().map(len).collect()
     assert max(sizes) < 400
