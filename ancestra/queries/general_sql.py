@@ -62,6 +62,39 @@ having count(*) * 100 >= (select count(distinct edge) from e)"""
 P7_PROFILE = f"""with {ENDS}, t as (select {_h("hash")} as vertex_hash, min(lower(annotations['type'])) as vertex_type from vertices group by 1)
 select e.p as vertex_hash, vertex_type, count(*) as n_edges, count(distinct c) as n_children from e join t on t.vertex_hash = e.p group by 1, 2"""
 
+ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}"
+CLOCK = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
+
+P6 = rf"""with l as (select log_file, line_no, line_id, rtrim(coalesce(msg, ''), chr(13)) as m, cast(extract(year from collected) as varchar) as y from log_line),
+h as (select *, case
+  when regexp_matches(m, '^\[{ISO},[0-9]+\] +[A-Z]+ +[^ ]+ -') then 'b'
+  when regexp_matches(m, '^{ISO}[.][0-9]+ [A-Z]+ \[[0-9]+\] .*[A-Z]+[0-9]?:') then 'p'
+  when regexp_matches(m, '^{ISO}[.][0-9]+[+-][0-9]{{4}} +[A-Z]+ +\[[^\]]+\]') then 'n'
+  when regexp_matches(m, '^[A-Z][a-z]{{2}} [0-9]+, [0-9]{{4}} [0-9]+:[0-9]{{2}}:[0-9]{{2}} [AP]M [^ ]+ [^ ]+ *$') then 'j'
+  when regexp_matches(m, '^(node=[^ ]+ )?type=[^ ]+ msg=audit\([0-9]+') then 'a'
+  when regexp_matches(m, '^[IWEF][0-9]{{4}} {CLOCK}[.][0-9]+ +[0-9]+ [^ ]+:[0-9]+\]') then 'g'
+  when regexp_matches(m, '^[A-Z][a-z]{{2}} [ 0-9][0-9] {CLOCK} [^ ]+ [^ :]+:') then 's' end as k from l),
+f as (select *, case k
+  when 'b' then strptime(m[2:20], '%Y-%m-%d %H:%M:%S') when 'p' then strptime(m[1:19], '%Y-%m-%d %H:%M:%S')
+  when 'n' then strptime(m[1:19], '%Y-%m-%d %H:%M:%S') - to_minutes(cast(regexp_extract(m, '[.][0-9]+([+-])', 1) || '1' as integer) * (60 * cast(regexp_extract(m, '[.][0-9]+[+-]([0-9]{{2}})', 1) as integer) + cast(regexp_extract(m, '[.][0-9]+[+-][0-9]{{2}}([0-9]{{2}})', 1) as integer)))
+  when 'j' then strptime(regexp_extract(m, '^(.* [AP]M) ', 1), '%b %d, %Y %I:%M:%S %p')
+  when 'a' then make_timestamp(1000000 * cast(regexp_extract(m, 'audit\(([0-9]+)', 1) as bigint))
+  when 'g' then strptime(y || m[2:5] || m[6:14], '%Y%m%d %H:%M:%S')
+  when 's' then strptime(y || ' ' || replace(m[1:15], '  ', ' '), '%Y %b %d %H:%M:%S') end as t, case k
+  when 'b' then regexp_extract(m, '\] +([A-Z]+)', 1) when 'p' then regexp_extract(m, '^[^\[]+\[[0-9]+\] .*?([A-Z]+[0-9]?):  ', 1)
+  when 'n' then regexp_extract(m, '[+-][0-9]{{4}} +([A-Z]+)', 1) when 'g' then m[1] end as w, case k
+  when 'b' then regexp_extract(m, '\] +[A-Z]+ +([^ ]+)', 1) when 'p' then regexp_extract(m, '^[^\[]+\[[0-9]+\] (.*?) ?[A-Z]+[0-9]?:  ', 1)
+  when 'n' then regexp_extract(m, ' \[([^\]]+)\]', 1) when 'j' then regexp_extract(m, '[AP]M ([^ ]+)', 1) when 'a' then regexp_extract(m, 'type=([^ ]+)', 1)
+  when 'g' then regexp_extract(m, ' +[0-9]+ ([^ ]+):[0-9]+\]', 1) when 's' then regexp_extract(m, '{CLOCK} [^ ]+ ([^ :\[]+)', 1) end as component,
+  max(case when k is not null then line_no end) over (partition by log_file order by line_no) as own,
+  lead(m) over (partition by log_file order by line_no) as next, lead(k) over (partition by log_file order by line_no) as next_k from h),
+n as (select log_file, own, count(*) as n_lines from f where own is not null group by 1, 2),
+e as (select f.*, n.n_lines, case when k = 'j' and next_k is null then regexp_extract(next, '^(SEVERE|WARNING|INFO|CONFIG|FINE|FINER|FINEST):', 1) else w end as word from f join n on n.log_file = f.log_file and n.own = f.line_no where k is not null)
+select line_id, strftime(t, '%Y-%m-%d %H:%M:%S') as ts_utc, case
+  when word in ('DEBUG', 'FINE', 'FINER', 'FINEST', 'CONFIG') or word like 'DEBUG_' then 'DEBUG' when word in ('INFO', 'LOG', 'NOTICE', 'I') then 'INFO'
+  when word in ('WARN', 'WARNING', 'W') then 'WARN' when word in ('ERROR', 'SEVERE', 'E') then 'ERROR' when word in ('FATAL', 'F') then 'FATAL' else '' end as severity,
+  component, cast(n_lines as integer) as n_lines from e"""
+
 SQL = {
     "p1_found": P1,
     "p1_descendants": P1_DESC,
@@ -70,6 +103,7 @@ SQL = {
     "p4_found": P4,
     "p5_found": P5,
     "p5_kept": P5_KEPT,
+    "p6_found": P6,
     "p7_found": P7,
     "p7_profile": P7_PROFILE,
 }
