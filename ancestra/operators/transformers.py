@@ -434,14 +434,17 @@ NOISE_PATHS = r"^(/tmp|pipe:|/unknown).*|^.*(scoreboard|\(null\)|/dev/null|stder
 
 
 def beep(rows: DataFrame, source: Graph, way: str) -> DataFrame:
-    """The chain of transformations for a backward or forward search."""
-    rows = temporal_traversal(rows, "event id", source, way)
+    """The chain of transformations for a backward or forward search.
+
+    Steps that read their input several times get it written out, else plans would grow by a factor a step.
+    """
+    rows = temporal_traversal(stored(rows), "event id", source, way)
     rows = drop_keys(rows, "event id")
-    for step in (no_units, no_memory, no_versions, merge_io, simple_forks):
+    for step in (no_units, no_memory, no_versions, merge_io):
         rows = step(rows)
-    rows = blacklist(rows, NOISE_PATHS, source)
-    rows = no_ephemeral_reads(rows, NOISE_PATHS if way[:1] == "a" else None, source)
-    return no_ephemeral_writes(rows)
+    rows = blacklist(simple_forks(stored(rows)), NOISE_PATHS, source)
+    rows = no_ephemeral_reads(stored(rows), NOISE_PATHS if way[:1] == "a" else None, source)
+    return no_ephemeral_writes(stored(rows))
 
 
 def way_of(text: str | None) -> str:

@@ -116,6 +116,23 @@ def no(a: str, test: str) -> str:
     return f"not coalesce({test.replace('@', a)}, false)"
 
 
+def mapped(names: dict[str, str]) -> str:
+    return "case a['type'] " + " ".join(f"when '{k}' then '{x}'" for k, x in names.items()) + " end"
+
+
+NEW_TYPE = f"case when kind = 'edge' then {mapped(EDGE_TYPES)} else {mapped(VERTEX_TYPES)} end"
+FIRSTS = """m as (select *, case when ea['operation'] in ('fork', 'clone') then 'f' when ea['operation'] = 'execve' then 'x' end as k, ca['pid'] as pid from flat),
+o as (select *, row_number() over (partition by k, pid order by coalesce(try_cast(ea['event id'] as bigint), 4611686018427387904), id) as n from m where k is not null and pid is not null),
+fk as (select * from o where k = 'f' and n = 1), xk as (select * from o where k = 'x' and n = 1),
+names as (select coalesce(fk.pid, xk.pid) as pid, coalesce(xk.c, fk.c) as v, coalesce(xk.ca, fk.ca) as va from fk full join xk on fk.pid = xk.pid)"""
+FORKS = f"""select {strip('ea')} as ea, c, {strip('ca')} as ca, p, {strip('pa')} as pa from (
+select case when xk.pid is not null then {put("fk.ea", "operation", "fk.ea['operation'] || ' (execve)'")} else fk.ea end as ea, coalesce(xk.c, fk.c) as c, coalesce(xk.ca, fk.ca) as ca, fk.p, fk.pa from fk left join xk on xk.pid = fk.pid
+union all select m.ea, coalesce(a.v, m.c), coalesce(a.va, m.ca), coalesce(b.v, m.p), coalesce(b.va, m.pa) from m left join names a on a.pid = m.ca['pid'] left join names b on b.pid = m.pa['pid'] where m.k is distinct from 'f' and m.id not in (select id from xk))"""
+FEATURES = """w0 as (select seq, id, a, row_number() over (partition by id order by seq) as k, kind, c, p, ca, pa from s),
+w as (select seq, case when a['type'] = 'Used' then c else p end as q, a['type'] = 'Used' as r, try_cast(a['time'] as double) as t, coalesce(try_cast(a['size'] as double), 0) as z, case when a['type'] = 'Used' then pa else ca end as b from w0 where k = 1 and kind = 'edge' and a['type'] in ('Used', 'WasGeneratedBy')),
+w2 as (select *, min(t) over (partition by q) as t0, last_value(case when r then t end ignore nulls) over (partition by q order by seq rows between unbounded preceding and 1 preceding) as lr,
+  last_value(case when not r then t end ignore nulls) over (partition by q order by seq rows between unbounded preceding and 1 preceding) as lw from w)"""
+
 SIZES = "x as (select try_cast(a['size'] as double) as x from e where try_cast(a['size'] as double) is not null)"
 IO = """io as (select *, case when a['type'] = 'Used' then pa['path'] || chr(0) || pa['version'] when a['type'] = 'WasGeneratedBy' then ca['path'] || chr(0) || ca['version'] end as f from s where kind = 'edge'),
 io2 as (select *, lag(a['type']) over (partition by f, case when a['type'] = 'Used' then c else p end order by seq) as l from io where f is not null)"""
@@ -198,6 +215,12 @@ select round(low, 6) as low, round(high, 6) as high, (select count(*) from x whe
     "f_blacklist": filtered("case when kind = 'edge' then " + no("ca", "regexp_matches(@['path'], '^/(etc|usr)/')") + " and " + no("pa", "regexp_matches(@['path'], '^/(etc|usr)/')") + " else " + no("a", "regexp_matches(@['path'], '^/(etc|usr)/')") + " end"),
     "f_filter_provenance": filtered(no("a", "@['uid'] = '1001'") + " and not (kind = 'edge' and (coalesce(ca['uid'] = '1001', false) or coalesce(pa['uid'] = '1001', false)))"),
     "f_drop_principals": filtered("case when kind = 'edge' then a['type'] is distinct from 'Edge' else a['type'] is distinct from 'Principal' end"),
+    "t_simple_forks": transformed(FORKS, FIRSTS),
+    "f_opm_to_prov": filtered(f"{NEW_TYPE} is not null", put("a", "type", NEW_TYPE)),
+    "f_opm_to_prov_tc": filtered(a=f"map_from_entries(list_transform(map_entries(case when {NEW_TYPE} is not null then {put('a', 'type', NEW_TYPE)} else a end), lambda x: {{'key': case when x.key = 'operation' then 'cdmOperation' else x.key end, 'value': x.value}}))"),
+    "f_process_features": f"""with {STREAM}, {FEATURES} select q as id, count(*) filter (r) as n_reads, count(*) filter (not r) as n_writes, avg(case when r then t - lr end) as avg_between_reads, avg(case when not r then t - lw end) as avg_between_writes,
+count(distinct b['path']) as n_files, count(distinct nullif(regexp_extract(b['path'], '[.]([A-Za-z0-9]+)$', 1), '')) as n_extensions, count(distinct b['remote address']) as n_hosts, sum(case when r then z else 0 end) as bytes_read, sum(case when not r then z else 0 end) as bytes_written,
+count(*) filter (t <= t0 + 1) as n_beginning, count(distinct case when t <= t0 + 1 then b['path'] end) as n_files_beginning, min(t) as first_time, max(t) as last_time from w2 group by 1""",
     "f_deduplicate": filtered("k = 1", source="(select *, row_number() over (partition by id order by seq) as k from s)"),
     "f_drop_repeat_edges": filtered("kind = 'vertex' or k = 1 or o is distinct from a['operation']", source="(select *, lag(a['operation']) over (partition by kind, c, p order by seq) as o, row_number() over (partition by kind, c, p order by seq) as k from s)"),
     "f_io_runs": f"with {STREAM}, {IO} select seq, kind, id, {text('a')} as text from (select seq, kind, id, coalesce(a, map()) as a from io2 where l is null or l <> a['type'] union all select seq, kind, id, coalesce(a, map()) from s where kind = 'vertex' or seq not in (select seq from io2))",
