@@ -133,6 +133,24 @@ w as (select seq, case when a['type'] = 'Used' then c else p end as q, a['type']
 w2 as (select *, min(t) over (partition by q) as t0, last_value(case when r then t end ignore nulls) over (partition by q order by seq rows between unbounded preceding and 1 preceding) as lr,
   last_value(case when not r then t end ignore nulls) over (partition by q order by seq rows between unbounded preceding and 1 preceding) as lw from w)"""
 
+def versioned(edges: str) -> str:
+    """Versioned edges (seq, a, ca, pa) and the vertices at their ends."""
+    return f"""ve as (select seq, coalesce(a, map()) as a, ca, pa, md5({text("ca")}) as c, md5({text("pa")}) as p from ({edges}))
+select seq, 'edge' as kind, md5(c || ',' || {text("a")} || ',' || p) as id, {text("a")} as text from ve
+union all select min(seq), 'vertex', id, any_value(t) from (select seq, c as id, {text("ca")} as t from ve union all select seq, p, {text("pa")} from ve) group by id"""
+
+
+def bumped(a: str, n: str) -> str:
+    return put(f"coalesce({a}, map())", "version", f"cast({n} as varchar)")
+
+
+CHAIN = "map {'edge_type': 'versioning'}"
+ON_WRITE = """ev as (select * from s where kind = 'edge'),
+pts as (select seq, c as v, 1 as isc, seq * 2 + 1 as o from ev union all select seq, p, 0, seq * 2 from ev),
+cnt as (select *, coalesce(sum(isc) over (partition by v order by o rows between unbounded preceding and 1 preceding), 0)::bigint as n from pts),
+x as (select ev.*, n1.n as nc, n0.n as np from ev join cnt n1 on n1.seq = ev.seq and n1.isc = 1 join cnt n0 on n0.seq = ev.seq and n0.isc = 0)"""
+ON_READ = """x as (select *, row_number() over (partition by c order by seq) - 1 as nc from s where kind = 'edge' and a['type'] = 'Used' and ca['type'] = 'Process' and pa['type'] = 'Artifact')"""
+
 SIZES = "x as (select try_cast(a['size'] as double) as x from e where try_cast(a['size'] as double) is not null)"
 IO = """io as (select *, case when a['type'] = 'Used' then pa['path'] || chr(0) || pa['version'] when a['type'] = 'WasGeneratedBy' then ca['path'] || chr(0) || ca['version'] end as f from s where kind = 'edge'),
 io2 as (select *, lag(a['type']) over (partition by f, case when a['type'] = 'Used' then c else p end order by seq) as l from io where f is not null)"""
@@ -221,6 +239,8 @@ select round(low, 6) as low, round(high, 6) as high, (select count(*) from x whe
     "f_process_features": f"""with {STREAM}, {FEATURES} select q as id, count(*) filter (r) as n_reads, count(*) filter (not r) as n_writes, avg(case when r then t - lr end) as avg_between_reads, avg(case when not r then t - lw end) as avg_between_writes,
 count(distinct b['path']) as n_files, count(distinct nullif(regexp_extract(b['path'], '[.]([A-Za-z0-9]+)$', 1), '')) as n_extensions, count(distinct b['remote address']) as n_hosts, sum(case when r then z else 0 end) as bytes_read, sum(case when not r then z else 0 end) as bytes_written,
 count(*) filter (t <= t0 + 1) as n_beginning, count(distinct case when t <= t0 + 1 then b['path'] end) as n_files_beginning, min(t) as first_time, max(t) as last_time from w2 group by 1""",
+    "f_version_on_write": f"with {STREAM}, {ON_WRITE}, " + versioned(f"select seq, a, {bumped('ca', 'nc + 1')} as ca, {bumped('pa', 'np')} as pa from x union all select seq, {CHAIN}, {bumped('ca', 'nc + 1')}, {bumped('ca', 'nc')} from x"),
+    "f_version_process": f"with {STREAM}, {ON_READ}, " + versioned(f"select seq, a, {bumped('ca', 'nc + 1')} as ca, pa from x union all select seq, {CHAIN}, {bumped('ca', 'nc + 1')}, {bumped('ca', 'nc')} from x"),
     "f_deduplicate": filtered("k = 1", source="(select *, row_number() over (partition by id order by seq) as k from s)"),
     "f_drop_repeat_edges": filtered("kind = 'vertex' or k = 1 or o is distinct from a['operation']", source="(select *, lag(a['operation']) over (partition by kind, c, p order by seq) as o, row_number() over (partition by kind, c, p order by seq) as k from s)"),
     "f_io_runs": f"with {STREAM}, {IO} select seq, kind, id, {text('a')} as text from (select seq, kind, id, coalesce(a, map()) as a from io2 where l is null or l <> a['type'] union all select seq, kind, id, coalesce(a, map()) from s where kind = 'vertex' or seq not in (select seq from io2))",

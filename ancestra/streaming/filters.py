@@ -176,11 +176,12 @@ def _edge_rows(e: DataFrame, ca: Column, pa: Column, a: Column) -> DataFrame:
 
 
 def _with_vertices(e: DataFrame) -> DataFrame:
-    """Edges and the vertices at their ends, each once."""
+    """Edges and the vertices at their ends, each once, at its first edge."""
     none = F.lit(None)
     ends = e.select("seq", "source", "event_time", F.explode(F.array(F.struct(F.col("child").alias("id"), F.col("ca").alias("a")), F.struct(F.col("parent").alias("id"), F.col("pa").alias("a")))).alias("x"))
-    v = ends.select("seq", "source", F.lit("vertex").alias("kind"), F.col("x.id").alias("id"), none.cast("string").alias("child"), none.cast("string").alias("parent"), F.col("x.a").alias("annotations"), none.cast(MAP).alias("ca"), none.cast(MAP).alias("pa"), "event_time")
-    return e.unionByName(v.dropDuplicates(["id"]))
+    first = ends.select("seq", "source", "event_time", F.col("x.id").alias("id"), F.col("x.a").alias("annotations")).groupBy("id").agg(F.min_by(F.struct("seq", "source", "event_time", "annotations"), "seq").alias("y"))
+    v = first.select("y.seq", "y.source", F.lit("vertex").alias("kind"), "id", none.cast("string").alias("child"), none.cast("string").alias("parent"), "y.annotations", none.cast(MAP).alias("ca"), none.cast(MAP).alias("pa"), "y.event_time")
+    return e.unionByName(v)
 
 
 def cycle_avoidance(rows: DataFrame, rounds: int = 1000) -> DataFrame:
