@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -65,7 +66,8 @@ def prose(text: str) -> list[str]:
 
 def language(ws: list[str]) -> str:
     """The language whose common words stand most often; empty if too few do."""
-    score = {k: sum(w in own for w in ws) for k, own in LANGUAGE.items()}
+    n = Counter(ws)
+    score = {k: sum(n[w] for w in own if w in n) for k, own in LANGUAGE.items()}
     best = max(score, key=lambda k: score[k])
     return best if score[best] * 12 >= len(ws) > 0 else ""
 
@@ -153,7 +155,10 @@ class LevelModel:
 
     def sentences(self, s: Split) -> np.ndarray:
         """The distribution over bands of every sentence."""
-        logits = np.array([np.mean([self.vector(w) for w in ws], 0) + np.array(_length(len(ws), s.marked)) @ self.length for ws in s.sentences])
+        per = np.array([self.vector(w) for ws in s.sentences for w in ws])
+        n = np.array([len(ws) for ws in s.sentences])
+        start = np.concatenate([[0], np.cumsum(n)[:-1]])
+        logits = np.add.reduceat(per, start) / n[:, None] + np.array([_length(k, s.marked) for k in n]) @ self.length
         e = np.exp(logits - logits.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
