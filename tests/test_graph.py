@@ -220,3 +220,26 @@ def test_lineage_over_two_hosts(spark):
     start = src.base.get_vertex(Compare("path", "=", "/etc/passwd"))
     got = ids(remote_lineage(src.base.get_lineage(start, 6, "d"), start, 6, "d", [dst]))
     assert got == ({"1001", "1002", "1003", "1004", "1", "2", "3", "4"}, set("abcfgh"))
+
+
+def test_remote_save_and_transform(spark, store, tmp_path):
+    other = make(spark, {"w1": {"type": "Agent"}}, {})
+    s = Session(store, {"there": other})
+    s.run("$a = vertices('v1'); $b = vertices('v2'); remote link $a 'there' $b;")
+    assert [r.host for r in s.run("remote list $a").collect()] == ["there"]
+    assert s.run("stat $a").first().asDict() == {"vertices": 2, "edges": 0}
+    s.run("remote copy $b $a; remote unlink $a 'there';")
+    assert s.run("remote list $a").collect() == [] and s.run("stat $b").first().vertices == 2
+    assert {r.id for r in s.run("remote export $b")[0].collect()} == {"v2", "w1"}
+    assert s.run("remote query 'there' 'stat $base'").first().vertices == 1
+    s.run("remote clear $b; remote create $c 'there'")
+    assert s.run("stat $c").first().vertices == 1
+    s.run(f"save $base '{tmp_path}/g.json'; save $base '{tmp_path}/g'")
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "g.json").glob("part*")) == 11
+    (tmp_path / "m.dot").write_text('"WasGeneratedBy" -> "WasControlledBy" [label="WasDependentOn"];\n')
+    s.run(f"$r = $base.refineDependencies('{tmp_path}/m.dot', type, 3)")
+    assert ids(s.graphs["$r"]) == ({"v1", "v2", "v4", "v5"}, {"e1", "e3", "e5", "e6"})
+    s.run("$t = $base.transform(OPM2Prov, ''); $p = $t.getVertex(type == 'Activity')")
+    assert len(ids(s.graphs["$t"])[1]) == 6 and len(ids(s.graphs["$p"])[0]) == 2
+    s.run("$src = $base.getVertex(name = 'john'); $q = $base.transform(Prune, '', $src, 'descendants', 1)")
+    assert len(ids(s.graphs["$q"])[1]) == 8  # the store now also has the converted graph: 12 edges, 4 of them at john
