@@ -172,30 +172,81 @@ def only_addresses(rows: DataFrame) -> DataFrame:
     return both.select(F.lit("").alias("id"), ea.alias("ea"), "child", "ca", "parent", "pa")
 
 
-def closure(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(src, dst) of all non-empty walks over ``pairs(src, dst)``, by doubling: each round joins the walks found with themselves."""
-    known = stored(pairs.select("src", "dst").distinct())
-    n = known.count()
+def _contracted(steps: DataFrame, rounds: int = 32) -> DataFrame:
+    """(k, node): vertices of ``steps(src, dst)`` that walks lead to each other, with the one that stands for them.
+
+    Each vertex takes the largest number that a walk brings to it; who has a walk back to that
+    number's own vertex is in its component. Large components come out whole if the hubs have the large numbers. A component
+    that is missed, or cut at ``rounds``, only costs the caller time: what is merged does belong together.
+    """
+    inner = steps.select(F.col("src").alias("k")).distinct().join(steps.select(F.col("dst").alias("k")).distinct(), "k")
+    core = stored(steps.join(inner.select(F.col("k").alias("src")), "src", "left_semi").join(inner.select(F.col("k").alias("dst")), "dst", "left_semi"))
+    colour = stored(inner.select("k", F.col("k").alias("node")))
+    front = colour
+    for _ in range(rounds):
+        told = core.join(front.select(F.col("k").alias("src"), "node"), "src").groupBy(F.col("dst").alias("k")).agg(F.max("node").alias("told"))
+        both = stored(colour.join(told, "k", "left").select("k", F.greatest("node", "told").alias("node"), F.coalesce(F.col("told") > F.col("node"), F.lit(False)).alias("new")))
+        colour, front = both.select("k", "node"), both.where("new").select("k", "node")
+        if front.isEmpty():
+            break
+    same = core.join(colour.select(F.col("k").alias("src"), "node"), "src").join(colour.select(F.col("k").alias("dst"), F.col("node").alias("n2")), "dst").where("node = n2")
+    same = stored(same.select("src", "dst", "node"))
+    back = Pile(colour.where("k = node"))
+    front = back.read()
     for _ in range(rounds):
-        far = known.select("src", F.col("dst").alias("m")).join(known.select(F.col("src").alias("m"), "dst"), "m").select("src", "dst")
-        more = stored(known.union(far).distinct())
-        now = more.count()
-        if now == n:
-            return more
-        known, n = more, now
-    return known
+        hop = same.join(front.select(F.col("k").alias("dst")), "dst").select(F.col("src").alias("k"), "node").distinct()
+        front = back.add(hop.join(back.read().select("k"), "k", "left_anti"))
+        if front.isEmpty():
+            break
+    return back.read()
 
 
 def only_agents(rows: DataFrame) -> DataFrame:
-    """Agent to agent, wherever a walk leads from a vertex of the one to a vertex of the other."""
+    """Agent to agent, wherever a walk leads from a vertex of the one to another vertex of the other.
+
+    No pairs of vertices are made: components are contracted, and each node collects the agents it can reach,
+    each with the first and the last of that agent's vertices. These two tell whether a walk on a cycle only leads back to where it began.
+    """
     a_child = F.coalesce(F.col("ca")["type"] == "Agent", F.lit(False))
     a_parent = F.coalesce(F.col("pa")["type"] == "Agent", F.lit(False))
-    held = rows.where(a_child).select(F.col("parent").alias("v"), F.col("child").alias("agent"), F.col("ca").alias("a"))
-    held = held.unionByName(rows.where(~a_child & a_parent).select(F.col("child").alias("v"), F.col("parent").alias("agent"), F.col("pa").alias("a"))).dropDuplicates(["v", "agent"])
-    walks = closure(rows.select(F.col("child").alias("src"), F.col("parent").alias("dst")).where("src <> dst"))
-    src = held.select(F.col("v").alias("src"), F.col("agent").alias("child"), F.col("a").alias("ca"))
-    dst = held.select(F.col("v").alias("dst"), F.col("agent").alias("parent"), F.col("a").alias("pa"))
-    made = walks.where("src <> dst").join(src, "src").join(dst, "dst").dropDuplicates(["child", "parent"])
+    who = F.when(a_child, F.col("ca")).when(a_parent, F.col("pa"))
+    ends = stored(rows.select("child", "parent", F.when(a_child, F.col("parent")).otherwise(F.col("child")).alias("v"), who.alias("a")).withColumn("agent", F.when(F.col("a").isNotNull(), vertex_id(F.col("a")))))
+    links = ends.select("child", "parent").where("child <> parent").distinct()
+    into, out = links.groupBy(F.col("parent").alias("v")).agg(F.count("*").alias("i")), links.groupBy(F.col("child").alias("v")).agg(F.count("*").alias("o"))
+    held = ends.where("agent is not null").select("v", "agent")
+    every = into.join(out, "v", "full_outer").select("v", F.least(F.coalesce("i", F.lit(0)), F.coalesce("o", F.lit(0))).alias("n"))
+    number = stored(every.orderBy("n", "v").select("v", F.monotonically_increasing_id().alias("k")))  # hubs last
+    steps = links.join(number.select(F.col("v").alias("child"), F.col("k").alias("src")), "child").join(number.select(F.col("v").alias("parent"), F.col("k").alias("dst")), "parent")
+    steps = stored(steps.select("src", "dst"))
+    agents = stored(held.select("agent").distinct().select("agent", F.monotonically_increasing_id().alias("g")))
+    node = _contracted(steps)
+
+    def contract(df: DataFrame, c: str) -> DataFrame:
+        return df.join(node.select(F.col("k").alias(c), "node"), c, "left").withColumn(c, F.coalesce("node", c)).drop("node")
+
+    # a contracted node keeps its link to itself: its vertices reach each other
+    steps = stored(contract(contract(steps, "src"), "dst").distinct())
+    first, last = F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    direct = held.join(number, "v").join(agents, "agent").select("k", "g", F.col("k").alias("lo"), F.col("k").alias("hi"))
+    direct = stored(contract(direct, "k").groupBy("k", "g").agg(first, last))
+    reached: Pile | None = None
+    front = direct
+    while True:
+        told = steps.join(front.select(F.col("k").alias("dst"), "g", "lo", "hi"), "dst").groupBy(F.col("src").alias("k"), "g").agg(first, last)
+        if reached is None:
+            reached = Pile(told)
+            front = reached.read()
+        else:
+            known = reached.read().groupBy("k", "g").agg(F.min("lo").alias("lo0"), F.max("hi").alias("hi0"))
+            front = reached.add(told.join(known, ["k", "g"], "left").where("lo0 is null or lo < lo0 or hi > hi0"))
+        if front.isEmpty():
+            break
+    ahead = reached.read().groupBy("k", "g").agg(first, last).select("k", F.col("g").alias("h"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    pairs = direct.join(ahead, "k").where("not (lo = hi and lo1 = hi1 and lo = lo1)").select("g", "h").distinct()
+    names = ends.where("agent is not null").dropDuplicates(["agent"]).select("agent", "a").join(agents, "agent")
+    src = names.select("g", F.col("agent").alias("child"), F.col("a").alias("ca"))
+    dst = names.select(F.col("g").alias("h"), F.col("agent").alias("parent"), F.col("a").alias("pa"))
+    made = pairs.join(src, "g").join(dst, "h")
     return made.select(F.lit("").alias("id"), F.create_map(F.lit("type"), F.lit("ActedOnBehalfOf")).alias("ea"), "child", "ca", "parent", "pa")
 
 

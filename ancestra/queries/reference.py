@@ -174,6 +174,7 @@ TRANSFORMS = {
     "t_sanitization": ("Sanitization", "sanitizationLevel=low"),
     "t_abe": ("ABE", "level=low key=0123456789abcdef"),
     "t_only_addresses": ("OnlyAddresses", ""),
+    "t_only_agents": ("OnlyAgents", ""),
     "t_aggregation": ("Aggregation", ""),
 }
 
@@ -194,25 +195,12 @@ def _walks(name: str, args: str, way: str, depth: int | None = None) -> Query:
     return run
 
 
-def _on_processes(name: str, args: str = "") -> Query:
-    """Over the edges among processes and agents, where the closure is of bounded size."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        g = store(spark, d).base
-        s = Session(g.store)
-        s.run("$x = $base.getEdge(type == 'WasControlledBy' or operation == 'fork');")
-        return t.apply(name, s.graphs["$x"], args).rows()
-
-    return run
-
-
 QUERIES |= {
     "t_prune": _walks("Prune", "", "ancestors", 2),
     "t_temporal_a": _walks("TemporalTraversal", 'order="event id"', "ancestors"),
     "t_temporal_d": _walks("TemporalTraversal", "order=time", "descendants"),
     "t_contextual": _walks("ContextualTemporalTraversal", "order=time", "descendants"),
     "t_beep": _walks("BEEP", "", "ancestors"),
-    "t_only_agents": _on_processes("OnlyAgents"),
 }
 
 

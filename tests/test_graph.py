@@ -199,6 +199,50 @@ def test_addresses_and_agents(spark):
     assert ((("type", "ActedOnBehalfOf"),), who("Y"), who("X")) in flat_of(t.apply("OnlyAgents", graph(spark, vs, es)))
 
 
+def agents_by_hand(vs, es):
+    """Pairs of agents, by brute force over all pairs of vertices."""
+    agent = {v for v, a in vs.items() if a["type"] == "Agent"}
+    held, after = {}, {}
+    for c, p in es:
+        if c in agent or p in agent:
+            held.setdefault(p if c in agent else c, set()).add(c if c in agent else p)
+        after.setdefault(c, set()).add(p)
+    out = set()
+    for v in held:
+        seen, front = set(), {v}
+        while front := {y for x in front for y in after.get(x, ())} - seen:
+            seen |= front
+        out |= {(a, b) for w in seen - {v} for a in held[v] for b in held.get(w, ())}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_agents_over_walks_with_cycles(spark, seed):
+    rng = random.Random(seed)
+    vs = {f"p{i}": P(str(i)) for i in range(16)} | {f"g{i}": {"type": "Agent", "uid": str(i)} for i in range(5)}
+    es = {(f"p{rng.randrange(16)}", f"p{rng.randrange(16)}") for _ in range(14)} | {(f"p{rng.randrange(16)}", f"g{rng.randrange(5)}") for _ in range(7)}
+    es |= {("p0", "p1"), ("p1", "p0"), ("p0", "g4"), ("g0", "p3")}
+    got = flat_of(t.apply("OnlyAgents", graph(spark, vs, [(c, p, {}) for c, p in sorted(es)])))
+    assert {("g" + dict(c)["uid"], "g" + dict(p)["uid"]) for _, c, p in got} == agents_by_hand(vs, es)
+
+
+def test_an_agent_on_a_cycle_of_others_is_not_its_own(spark):
+    vs = {"a": P("1"), "b": P("2"), "g": {"type": "Agent", "uid": "1"}, "h": {"type": "Agent", "uid": "2"}}
+    assert flat_of(t.apply("OnlyAgents", graph(spark, vs, [("a", "b", {}), ("b", "a", {}), ("a", "g", {}), ("a", "h", {})]))) == []
+
+
+def test_the_agents_query_walks_all_edges(spark, tmp_path):
+    from ancestra.queries import reference
+
+    vs = {"a1": P("1"), "a2": P("2"), "a3": P("3"), "f1": FILE("/x"), "b1": {"type": "Agent", "uid": "1"}, "b2": {"type": "Agent", "uid": "2"}, "b3": {"type": "Agent", "uid": "3"}}
+    es = [("a1", "a2", "WasTriggeredBy", "clone"), ("a2", "f1", "Used", "read"), ("f1", "a3", "WasGeneratedBy", "write"), ("a1", "b1", "WasControlledBy", None), ("a2", "b2", "WasControlledBy", None), ("a3", "b3", "WasAssociatedWith", None)]
+    edges = [(f"e{i}", c, p, {"type": k, **({"operation": o} if o else {})}) for i, (c, p, k, o) in enumerate(es)]
+    spark.createDataFrame(list(vs.items()), "hash string, annotations map<string,string>").withColumn("ref", F.lit(False)).write.parquet(f"{tmp_path}/vertices.parquet")
+    spark.createDataFrame(edges, "hash string, childvertexhash string, parentvertexhash string, annotations map<string,string>").withColumn("ref", F.lit(False)).write.parquet(f"{tmp_path}/edges.parquet")
+    got = reference.QUERIES["t_only_agents"](spark, str(tmp_path))
+    assert got.where("kind = 'edge'").count() == 3 and got.where("kind = 'vertex'").count() == 3
+
+
 def test_content_merges_after_a_transformation(spark):
     vs = {"a": P("1"), "f": FILE("/x", version="1"), "g": FILE("/x", version="2")}
     es = [("a", "f", {"operation": "read"}), ("a", "g", {"operation": "read"}), ("g", "f", {"operation": "update"})]
