@@ -1,12 +1,10 @@
 """Deeply nested records into related flat tables.
 
-One Arrow pass reads each JSON text and writes it back in one spelling:
-wrappers that only name a type are dropped and named arrays become plain
-arrays however they were written. The merged schema of all records is inferred
-first, as the distinct places of arrays, each task giving what it met once; it
-tells which array stands where. From there on all work is in the JVM: each array level is exploded into child items that carry record key, parent path and ordinal, level by
-level within one projection, so no level is read twice and nothing is
-shuffled. ``child_table`` gives the flat table of one array.
+One Arrow pass reads each JSON text, drops wrappers that only name a type, takes
+named arrays as arrays however they were written, and explodes them level by level
+into child items that carry record key, parent path and ordinal. Nothing is
+shuffled, and neither the length of a value nor the depth of a record is limited.
+``child_table`` gives the flat table of one array.
 """
 
 from __future__ import annotations
@@ -14,17 +12,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: One-field objects with these names only state the type of what they hold.
 TYPE_WRAPPERS = frozenset("array map string bytes int long float double boolean enum record".split())
 
-#: The deepest nesting of arrays that is followed; the inferred schema must not show a deeper one.
-MAX_LEVELS = 64
+#: Items, or characters of them, after which the Arrow pass gives out a batch.
+BATCH_ROWS, BATCH_CHARS = 50_000, 1 << 24
 
 
 def _wrapper(name: str) -> bool:
@@ -37,6 +35,121 @@ def unwrap(value):
     return value
 
 
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _finite(text: str) -> float | str:
+    """A number, or its text where no double holds it."""
+    x = float(text)
+    return text if x in (float("inf"), float("-inf")) else x
+
+
+def _whole(text: str) -> int | str:
+    """A whole number, or its text where it has more digits than Python reads."""
+    return int(text) if len(text) <= 4000 else text
+
+
+BLANK = re.compile(r"[ \t\n\r]*")
+PLAIN = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null")
+
+
+def _parse_deep(text: str):
+    """``parse`` of a text at any depth, with a stack of its own."""
+    at, stack, root = 0, [], [None]
+    put = lambda v: root.__setitem__(0, v)
+    skip = lambda i: BLANK.match(text, i).end()
+
+    def key(i: int) -> int:
+        nonlocal put
+        if text[i : i + 1] != '"':
+            raise ValueError("key")
+        k, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("colon")
+        put = lambda v, d=stack[-1], k=k: d.__setitem__(k, v)
+        return skip(i + 1)
+
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            made = {} if c == "{" else []
+            put(made)
+            stack.append(made)
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    at = key(at)
+                else:
+                    put = made.append
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+            put(value)
+        elif m := PLAIN.match(text, at):
+            word = m.group()
+            put({"true": True, "false": False, "null": None}[word] if m.group(1) is None else _finite(word) if m.group(2) or m.group(3) else _whole(word))
+            at = m.end()
+        else:
+            raise ValueError("value")
+        while stack:
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ("}" if isinstance(stack[-1], dict) else "]"):
+                stack.pop()
+                at += 1
+            elif c == ",":
+                at = skip(at + 1)
+                if isinstance(stack[-1], dict):
+                    at = key(at)
+                else:
+                    put = stack[-1].append
+                break
+            else:
+                raise ValueError("separator")
+        else:
+            if skip(at) != len(text):
+                raise ValueError("rest")
+            return root[0]
+
+
+def parse(text: str):
+    """The value of a complete JSON text; anything else raises ValueError. Numbers that Python can't hold come as their text."""
+    try:
+        return json.loads(text, parse_constant=_refuse, parse_float=_finite, parse_int=_whole)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def dump(value) -> str:
+    """``value`` as JSON text, at any depth."""
+    try:
+        return json.dumps(value, separators=(",", ":"))
+    except RecursionError:
+        pass
+    out, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, _Raw):
+            out.append(v)
+        elif isinstance(v, dict):
+            parts = [x for k, y in v.items() for x in (_Raw("," + json.dumps(k) + ":"), y)]
+            parts[:1] = [_Raw(x[1:]) for x in parts[:1]]
+            stack += [_Raw("}"), *reversed(parts), _Raw("{")]
+        elif isinstance(v, list):
+            parts = [x for y in v for x in (_Raw(","), y)][1:]
+            stack += [_Raw("]"), *reversed(parts), _Raw("[")]
+        else:
+            out.append(json.dumps(v))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text that is already JSON."""
+
+
 def _as_list(value) -> list | None:
     """The items of a named array, however it is written; None for null."""
     value = unwrap(value)
@@ -44,7 +157,7 @@ def _as_list(value) -> list | None:
         text = value.strip()
         if text[:1] in ("[", "{"):
             try:
-                value = unwrap(json.loads(text))
+                value = unwrap(parse(text))
             except ValueError:
                 pass
     if value is None or isinstance(value, list):
@@ -54,36 +167,28 @@ def _as_list(value) -> list | None:
 
 def canonical(value, arrays: frozenset[str]):
     """``value`` without wrappers and with every array named in ``arrays`` as a list."""
-    value = unwrap(value)
-    if isinstance(value, dict):
-        out = {}
-        for k, v in value.items():
-            if k in arrays:
-                v = _as_list(v)
-            out[k] = canonical(v, arrays)
-        return out
-    if isinstance(value, list):
-        return [canonical(v, arrays) for v in value]
-    return value
-
-
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-def _finite(text: str) -> float | str:
-    """A number, or its text where no double holds it."""
-    x = float(text)
-    return text if x in (float("inf"), float("-inf")) else x
+    root = [value]
+    todo: list[tuple] = [(root, 0)]
+    while todo:
+        into, at = todo.pop()
+        v = unwrap(into[at])
+        if isinstance(v, dict):
+            v = {k: _as_list(x) if k in arrays else x for k, x in v.items()}
+            todo += [(v, k) for k in v]
+        elif isinstance(v, list):
+            v = list(v)
+            todo += [(v, i) for i in range(len(v))]
+        into[at] = v
+    return root[0]
 
 
 def canonical_value(text: str | None, arrays: frozenset[str]) -> dict | None:
-    """One record in one spelling; None if its text isn't one complete JSON object, or nests too deep for the parser."""
+    """One record in one spelling; None if its text isn't one complete JSON object."""
     if text is None:
         return None
     try:
-        body = canonical(json.loads(text, parse_constant=_refuse, parse_float=_finite), arrays)
-    except (ValueError, RecursionError):
+        body = canonical(parse(text), arrays)
+    except ValueError:
         return None
     return body if isinstance(body, dict) else None
 
@@ -91,11 +196,11 @@ def canonical_value(text: str | None, arrays: frozenset[str]) -> dict | None:
 def canonical_text(text: str | None, arrays: frozenset[str]) -> str | None:
     """The text of ``canonical_value``."""
     body = canonical_value(text, arrays)
-    return None if body is None else json.dumps(body, separators=(",", ":"))
+    return None if body is None else dump(body)
 
 
 def normalise(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFrame:
-    """(key, body): each record as a variant in one spelling; texts that aren't complete JSON objects are left out."""
+    """(key, body): each record as a variant in one spelling; texts that aren't complete JSON objects are left out. What no variant can hold raises."""
     names = frozenset(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,147 +210,71 @@ def normalise(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFram
 
     kind = dict(df.dtypes)[key]
     flat = df.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` {kind}, body string")
-    return flat.where("body is not null").select(key, F.try_parse_json("body").alias("body"))
-
-
-@dataclass
-class Node:
-    """What stands somewhere in any record: fields if it is ever an object, an item if it is ever an array."""
-
-    fields: dict[str, Node]
-    item: Node | None
-
-
-def _shape(value, way: tuple[str, ...], arrays: frozenset[str], out: set[tuple[str, ...]]) -> None:
-    """Adds the ways to all named arrays; keys that lead to none are no part of the schema, so maps with free keys stay out of it."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            here = (*way, "." + k)
-            if isinstance(v, list):
-                here = (*here, "[")
-                if k in arrays:
-                    out.add(here)
-                for x in v:
-                    _shape(x, here, arrays, out)
-            else:
-                _shape(v, here, arrays, out)
-
-
-def infer_schema(df: DataFrame, text: str, arrays: list[str], most: int = 100_000) -> Node:
-    """The merged schema of all records: places that hold objects in some and arrays or text in others keep all of it.
-
-    Each task gives every place of a named array once; what reaches the driver are the
-    distinct places. More than ``most`` of them mean that keys are data and not a schema, and raise ValueError.
+    return flat.where("body is not null").select(key, F.parse_json("body").alias("body"))
+
+
+def items_of(body: dict, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, object]]:
+    """(path, parent path, field, ordinal, item) of every non-null item of the named arrays of a record, level by level."""
+    level: list[tuple[str, object]] = [("", body)]
+    while level:
+        below: list[tuple[str, object]] = []
+        for parent, item in level:
+            todo = [(parent, item)]
+            while todo:
+                path, v = todo.pop()
+                for k, x in v.items() if isinstance(v, dict) else ():
+                    here = f"{path}.{k}" if path else k
+                    if k not in arrays:
+                        todo.append((here, x))
+                        continue
+                    for i, y in enumerate(x or ()):
+                        if y is not None:
+                            at = f"{here}[{i}]"
+                            yield at, parent, k, i, y
+                            below.append((at, y))
+        level = below
+
+
+def _well_formed(text: str) -> str:
+    """``text`` with lone surrogates, which no column can hold, as question marks."""
+    return text.encode("utf-8", "replace").decode()
+
+
+def nested_items(df: DataFrame, key: str, text: str, arrays: list[str], values: bool = True) -> DataFrame:
+    """(key, item_path, parent_path, field, ordinal, item): every non-null item of the named arrays of JSON texts at any depth.
+
+    Null items count for ordinals and paths, but give no rows, nor do null texts and those that aren't
+    one complete JSON object. ``item`` is JSON text; without ``values`` it is null, which saves writing it.
     """
     names = frozenset(arrays)
+    columns = [key, "item_path", "parent_path", "field", "ordinal", "item"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, ...]] = set()
         for b in batches:
-            own: set[tuple[str, ...]] = set()
-            for t in b.column(0).to_pylist():
-                body = canonical_value(t, names)
-                if body is not None:
-                    _shape(body, (), names, own)
-            if new := own - seen:
-                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(w) for w in new], pa.string())], names=["way"])
-                seen |= new
-
-    rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "way string").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} places in the records' schema")
-    root = Node({}, None)
-    for way in sorted(tuple(json.loads(r.way)) for r in rows):
-        at = root
-        for step in way:
-            if step == "[":
-                at.item = at.item or Node({}, None)
-                at = at.item
-            else:
-                at = at.fields.setdefault(step[1:], Node({}, None))
-    return root
-
-
-def array_fields(node: Node, arrays: frozenset[str], prefix: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], Node]]:
-    """Named arrays below ``node`` with the fields that lead to each, not looking inside any of them."""
-    out = []
-    for name, sub in node.fields.items():
-        way = (*prefix, name)
-        if name in arrays:
-            if sub.item is not None:
-                out.append((way, sub.item))
-        else:
-            out += array_fields(sub, arrays, way)
-    return out
-
-
-def _merged(nodes: list[Node]) -> Node:
-    fields: dict[str, list[Node]] = {}
-    for n in nodes:
-        for k, v in n.fields.items():
-            fields.setdefault(k, []).append(v)
-    items = [n.item for n in nodes if n.item is not None]
-    return Node({k: _merged(v) for k, v in fields.items()}, _merged(items) if items else None)
-
-
-def _json_path(way: tuple[str, ...]) -> str:
-    return "$" + "".join(f'["{w}"]' if "'" in w else f"['{w}']" for w in way)
-
-
-def _children(item: Column, ways: list[tuple[str, ...]]) -> Column:
-    """All non-null items of the arrays at ``ways`` below a struct(path, parent, v), as an array of such structs."""
-    def items(way: tuple[str, ...]) -> Column:
-        held = F.try_variant_get(item["v"], _json_path(way), "array<variant>")
-        name = ".".join(way)
-        made = F.transform(
-            F.coalesce(held, F.array().cast("array<variant>")),
-            lambda v, i: F.struct(
-                F.concat(F.when(item["path"] == "", F.lit("")).otherwise(F.concat(item["path"], F.lit("."))), F.lit(name + "["), i.cast("string"), F.lit("]")).alias("path"),
-                item["path"].alias("parent"),
-                F.lit(way[-1]).alias("field"),
-                i.alias("ordinal"),
-                v.alias("v"),
-            ),
-        )
-        return F.filter(made, lambda x: x["v"].isNotNull() & ~F.is_variant_null(x["v"]))
-
-    parts = [items(w) for w in ways]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+            rows: list[tuple] = []
+            owner: list[int] = []
+            chars = 0
+
+            def batch(b=b) -> pa.RecordBatch:
+                own = b.column(0).take(pa.array(owner, pa.int64()))
+                return pa.RecordBatch.from_arrays([own, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=columns)
+
+            for n in range(len(b)):
+                body = canonical_value(b.column(1)[n].as_py(), names)
+                for path, parent, field, i, v in items_of(body, names) if body is not None else ():
+                    item = dump(v) if values else None
+                    rows.append((_well_formed(path), _well_formed(parent), field, i, item))
+                    owner.append(n)
+                    chars += len(path) + len(parent) + len(item or "")
+                    if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield batch()
+                        rows, owner, chars = [], [], 0
+            if rows:
+                yield batch()
 
-
-def _next_level(level: Column, ways: list[tuple[str, ...]]) -> Column:
-    return F.flatten(F.transform(level, lambda x: _children(x, ways)))
-
-
-def explode_levels(bodies: DataFrame, key: str, arrays: list[str], schema: Node) -> DataFrame:
-    """(key, item_path, parent_path, field, ordinal, item): every non-null item of the named arrays at any depth.
-
-    ``schema`` is the merged schema of the bodies. Null items count
-    for ordinals and paths, but give no rows. An empty table gives no rows.
-    """
-    names = frozenset(arrays)
-    start = F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("parent"), F.lit("").alias("field"), F.lit(0).alias("ordinal"), F.col("body").alias("v")))
-    level, out = [schema], bodies.select(key, start.alias("level"))
-    seen: list[str] = []
-    for depth in range(MAX_LEVELS + 1):
-        found = [x for n in level for x in array_fields(n, names)]
-        ways = sorted({w for w, _ in found})
-        if not ways:
-            break
-        if depth == MAX_LEVELS:
-            raise ValueError(f"arrays nest deeper than {MAX_LEVELS} levels")
-        here = f"level{depth}"
-        out = out.withColumn(here, _next_level(F.col("level" if depth == 0 else f"level{depth - 1}"), ways))
-        seen.append(here)
-        level = [_merged([i for w, i in found if w == way]) for way in ways]
-    items = F.concat(*seen) if len(seen) > 1 else F.col(seen[0]) if seen else F.slice("level", 1, 0)
-    flat = out.select(key, F.explode(items).alias("i"))
-    return flat.select(key, F.col("i.path").alias("item_path"), F.col("i.parent").alias("parent_path"), F.col("i.field").alias("field"), F.col("i.ordinal").alias("ordinal"), F.col("i.v").alias("item"))
-
-
-def nested_items(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFrame:
-    """Items of all named arrays of JSON texts; see ``explode_levels``. Null and broken texts give no rows."""
-    return explode_levels(normalise(df, key, text, arrays), key, arrays, infer_schema(df, text, arrays))
+    kind = dict(df.dtypes)[key]
+    return df.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` {kind}, item_path string, parent_path string, field string, ordinal int, item string")
 
 
 def child_table(items: DataFrame, key: str, field: str, columns: dict[str, str]) -> DataFrame:
@@ -254,6 +283,8 @@ def child_table(items: DataFrame, key: str, field: str, columns: dict[str, str])
     An item that isn't an object has its value in a column ``value`` if that is
     asked for. A value that can't be read as its column's type is null.
     """
-    scalar = F.try_variant_get("item", "$", columns["value"]) if "value" in columns else None
-    cols = [F.coalesce(F.try_variant_get("item", _json_path((c,)), t), scalar).alias(c) if c == "value" else F.try_variant_get("item", _json_path((c,)), t).alias(c) for c, t in columns.items()]
+    v = F.parse_json("item")
+    way = lambda c: f'$["{c}"]' if "'" in c else f"$['{c}']"
+    scalar = F.try_variant_get(v, "$", columns["value"]) if "value" in columns else None
+    cols = [F.coalesce(F.try_variant_get(v, way(c), t), scalar).alias(c) if c == "value" else F.try_variant_get(v, way(c), t).alias(c) for c, t in columns.items()]
     return items.where(F.col("field") == field).select(key, "item_path", "parent_path", "ordinal", *cols)

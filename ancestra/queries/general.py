@@ -71,7 +71,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nested_items(table(spark, d, "cdm_record"), "record_id", "datum", ARRAYS).select("record_id", "item_path", "parent_path")
+    return nested.nested_items(table(spark, d, "cdm_record"), "record_id", "datum", ARRAYS, values=False).select("record_id", "item_path", "parent_path")
 
 
 def p3_parameters(spark: SparkSession, d: str) -> DataFrame:

@@ -124,6 +124,15 @@ def test_nested_items_at_any_depth(spark):
     assert {k: sorted(x) for k, x in got.items()} == {k: y for k, x in enumerate(TEXTS) if (y := brute_items(x))}
 
 
+def test_nested_items_of_long_and_deep_records(spark):
+    deep = '{"o":' * 60_000 + '{"xs": [1, 2.5, true, null, "\\"]"]}' + "}" * 60_000
+    texts = ['{"t": "%s", "xs": [1]}' % ("a" * 21_000_000), '{"n": %s, "xs": [1]}' % ("7" * 1100), '{"n": %s, "xs": [1]}' % ("7" * 5000), '{"l": %s, "xs": [1]}' % ("[" * 1200 + "]" * 1200), deep]
+    bad = [deep[:-1], deep + "}", deep.replace("2.5", "2.5.1"), deep.replace("true", "NaN")]
+    df = spark.createDataFrame(list(enumerate(texts + bad)), "k bigint, t string")
+    got = nested.nested_items(df, "k", "t", ARRAYS).select("k", "ordinal", "item").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, "1"), (1, 0, "1"), (2, 0, "1"), (3, 0, "1"), (4, 0, "1"), (4, 1, "2.5"), (4, 2, "true"), (4, 4, '"\\"]"')]
+
+
 def test_child_tables_are_typed(spark):
     df = spark.createDataFrame([(1, '{"xs": [{"n": 3, "s": "a"}, {"n": "no"}], "ys": ["v", {"n": 1}]}')], "k bigint, t string")
     items = nested.nested_items(df, "k", "t", ARRAYS)
