@@ -4,7 +4,8 @@ One Arrow pass reads each JSON text, drops wrappers that only name a type, takes
 named arrays as arrays however they were written, and explodes them level by level
 into child items that carry record key, parent path and ordinal. Nothing is
 shuffled, and neither the length of a value nor the depth of a record is limited.
-``child_table`` gives the flat table of one array.
+``flat_table`` gives the flat table of the records or of one array, with the
+columns of the merged schema of all of its rows, which a first pass infers.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from json.decoder import scanstring
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One-field objects with these names only state the type of what they hold.
 TYPE_WRAPPERS = frozenset("array map string bytes int long float double boolean enum record".split())
@@ -24,6 +26,9 @@ TYPE_WRAPPERS = frozenset("array map string bytes int long float double boolean
 #: Items, or characters of them, after which the Arrow pass gives out a batch.
 BATCH_ROWS, BATCH_CHARS = 50_000, 1 << 24
 
+#: An object with more distinct keys over all rows is a map with data for keys, and one column of JSON text.
+MOST_KEYS = 200
+
 
 def _wrapper(name: str) -> bool:
     return name in TYPE_WRAPPERS or re.fullmatch(r"\w+(\.\w+)+", name) is not None
@@ -222,6 +227,9 @@ def items_of(body: dict, arrays: frozenset[str]) -> Iterator[tuple[str, str, str
             todo = [(parent, item)]
             while todo:
                 path, v = todo.pop()
+                if isinstance(v, list):  # an array that isn't named, or an item that is one
+                    todo += [(f"{path}[{i}]", y) for i, y in enumerate(v)]
+                    continue
                 for k, x in v.items() if isinstance(v, dict) else ():
                     here = f"{path}.{k}" if path else k
                     if k not in arrays:
@@ -288,3 +296,152 @@ def child_table(items: DataFrame, key: str, field: str, columns: dict[str, str])
     scalar = F.try_variant_get(v, "$", columns["value"]) if "value" in columns else None
     cols = [F.coalesce(F.try_variant_get(v, way(c), t), scalar).alias(c) if c == "value" else F.try_variant_get(v, way(c), t).alias(c) for c, t in columns.items()]
     return items.where(F.col("field") == field).select(key, "item_path", "parent_path", "ordinal", *cols)
+
+
+Way = tuple[str, ...]
+
+
+def fields_of(item, arrays: frozenset[str], folded: set[Way] | frozenset[Way] = frozenset()) -> Iterator[tuple[Way, object]]:
+    """(way, value) of what an item holds outside of named arrays: scalars, further arrays, and the objects at ``folded``. The item itself is at ()."""
+    todo: list[tuple[Way, object]] = [((), item)]
+    while todo:
+        way, v = todo.pop()
+        if isinstance(v, dict) and way not in folded:
+            todo += [((*way, k), x) for k, x in v.items() if k not in arrays]
+        else:
+            yield way, v
+
+
+def _kind(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "int" if abs(v) <= 1 << 53 else "bigint" if -(1 << 63) <= v < 1 << 63 else "string"
+    return "double" if isinstance(v, float) else "string"
+
+
+def _merged_kind(kinds: set[str]) -> str:
+    """The type that holds every value of these kinds as it is."""
+    held = kinds - {"null"}
+    if held and held <= {"int", "bigint"}:
+        return "bigint"
+    if held and held <= {"int", "double"}:
+        return "double"
+    return "boolean" if held == {"boolean"} else "string"
+
+
+def _rows_of(body: dict, field: str | None, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, object]]:
+    """The record itself, as the item of the field ``""``, and its items; only those of ``field`` if it is given."""
+    if not field:
+        yield "", "", "", 0, body
+    if field != "":
+        yield from (x for x in items_of(body, arrays) if field is None or x[2] == field)
+
+
+def infer_schema(df: DataFrame, text: str, arrays: list[str], most: int = 100_000) -> dict[str, dict[Way, str]]:
+    """The merged schema of all records: field ("" for the records) to the ways of its columns and their types.
+
+    Each task gives every way and kind of value once. Maps with data for keys count as one way; more
+    than ``most`` ways and kinds besides raise ValueError.
+    """
+    names = frozenset(arrays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, Way, str]] = set()
+        keys: dict[tuple[str, Way], set[str]] = {}
+        folded: dict[str, set[Way]] = {}
+        for b in batches:
+            new = []
+            for t in b.column(0):
+                body = canonical_value(t.as_py(), names)
+                for _, _, field, _, item in _rows_of(body, None, names) if body is not None else ():
+                    for way, v in fields_of(item, names, folded.setdefault(field, set())):
+                        for n in range(1, len(way)):
+                            mine = keys.setdefault((field, way[:n]), set())
+                            mine.add(way[n])
+                            if len(mine) > MOST_KEYS and way[:n] not in folded[field]:
+                                folded[field].add(way[:n])
+                                new.append((field, way[:n], "map"))
+                        row = (field, way, _kind(v))
+                        if row not in seen:
+                            seen.add(row)
+                            new.append(row)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(r) for r in new], pa.string())], names=["row"])
+
+    found = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "row string").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} fields in the records' schema")
+    rows = [(field, tuple(way), kind) for field, way, kind in (json.loads(r.row) for r in found)]
+    below: dict[tuple[str, Way], set[str]] = {}
+    for field, way, _ in rows:
+        for n in range(1, len(way)):
+            below.setdefault((field, way[:n]), set()).add(way[n])
+    maps = {x for x, k in below.items() if len(k) > MOST_KEYS} | {(field, way) for field, way, kind in rows if kind == "map"}
+    kinds: dict[str, dict[Way, set[str]]] = {"": {}} | {a: {} for a in arrays}
+    for field, way, kind in rows:
+        way = next((way[:n] for n in range(1, len(way)) if (field, way[:n]) in maps), way)
+        kinds[field].setdefault(way, set()).add("map" if (field, way) in maps else kind)
+    return {field: {w: "map" if "map" in k else _merged_kind(k) for w, k in sorted(ways.items())} for field, ways in kinds.items()}
+
+
+def flat_table(df: DataFrame, key: str, text: str, arrays: list[str], field: str = "") -> DataFrame:
+    """The flat table of the array ``field``: key, item_path, parent_path, ordinal and a typed column for everything its items hold; of the records if it is "".
+
+    Objects within an item give columns with dotted names, further arrays and maps JSON text, an item that isn't an object the column
+    ``value``. A column has the type that holds all its values, else it is text. A name that is taken, letters' case aside, gets a number.
+    """
+    names = frozenset(arrays)
+    columns = infer_schema(df, text, arrays)[field]
+    folded = frozenset(w for w, k in columns.items() if k == "map")
+    fixed = ["item_path", "parent_path", "ordinal"] if field else []
+    taken = {c.lower() for c in (key, *fixed)}
+    outs = []
+    for way in columns:
+        name = plain = _well_formed(".".join(way)) if way else "value"
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{plain} {n}"
+        taken.add(name.lower())
+        outs.append(name)
+    types = {"bigint": (pa.int64(), T.LongType()), "double": (pa.float64(), T.DoubleType()), "boolean": (pa.bool_(), T.BooleanType()), "string": (pa.string(), T.StringType()), "map": (pa.string(), T.StringType())}
+    schema = T.StructType([df.schema[key]] + [T.StructField(c, T.IntegerType() if c == "ordinal" else T.StringType()) for c in fixed] + [T.StructField(o, types[k][1]) for o, k in zip(outs, columns.values(), strict=True)])
+    kinds = [pa.int32() if c == "ordinal" else pa.string() for c in fixed] + [types[k][0] for k in columns.values()]
+
+    def held(v, kind: str):
+        if v is None or kind in ("bigint", "boolean"):
+            return v
+        if kind == "double":
+            return float(v)
+        return _well_formed(v) if isinstance(v, str) and kind == "string" else dump(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner: list[int] = []
+            cells: list[list] = [[] for _ in kinds]
+            chars = 0
+
+            def batch(b=b) -> pa.RecordBatch:
+                own = b.column(0).take(pa.array(owner, pa.int64()))
+                return pa.RecordBatch.from_arrays([own, *[pa.array(x, t) for x, t in zip(cells, kinds, strict=True)]], names=schema.fieldNames())
+
+            for n in range(len(b)):
+                t = b.column(1)[n].as_py()
+                body = canonical_value(t, names)
+                for path, parent, _, i, item in _rows_of(body, field, names) if body is not None else ():
+                    got = dict(fields_of(item, names, folded))
+                    row = [*([_well_formed(path), _well_formed(parent), i] if field else []), *[held(got.get(w), k) for w, k in columns.items()]]
+                    for to, x in zip(cells, row, strict=True):
+                        to.append(x)
+                        chars += len(x) if isinstance(x, str) else 8
+                    owner.append(n)
+                    if len(owner) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield batch()
+                        owner, cells, chars = [], [[] for _ in kinds], 0
+            if owner:
+                yield batch()
+
+    return df.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, schema)

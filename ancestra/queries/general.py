@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.nested_items(table(spark, d, "cdm_record"), "record_id", "datum", ARRAYS, values=False).select("record_id", "item_path", "parent_path")
 
 
-def p3_parameters(spark: SparkSession, d: str) -> DataFrame:
-    items = nested.nested_items(table(spark, d, "cdm_record"), "record_id", "datum", ARRAYS)
-    columns = {"size": "bigint", "type": "string", "valueDataType": "string", "isNull": "boolean", "name": "string"}
-    return nested.child_table(items, "record_id", "parameters", columns)
+def _records(name: str, field: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return nested.flat_table(table(spark, d, "cdm_record"), "record_id", "datum", ARRAYS, field)
+
+    run.__name__ = name
+    return run
+
+
+#: The flat tables of the records: p3_records and, by record_id, item_path and parent_path related to it, one for each array.
+RECORD_TABLES = [_records("p3_records", "")] + [_records("p3_" + re.sub("([A-Z])", r"_\1", a).lower(), a) for a in ARRAYS]
 
 
 def _attributes(spark: SparkSession, d: str, fields: list[str] | None = None) -> DataFrame:
@@ -145,5 +152,5 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, p3_parameters, p4_found, p4_wide, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_profile)
+    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_profile)
 }

@@ -140,6 +140,36 @@ def test_child_tables_are_typed(spark):
     assert [r.value for r in nested.child_table(items, "k", "ys", {"value": "string"}).orderBy("ordinal").collect()][0] == "v"
 
 
+def test_named_arrays_in_unlisted_ones(spark):
+    df = spark.createDataFrame([(1, '{"o": [{"xs": [1]}, [{"ys": [2]}]], "xs": [[{"ys": [3]}]]}')], "k bigint, t string")
+    got = rows(nested.nested_items(df, "k", "t", ARRAYS).select("item_path", "parent_path"))
+    assert got == [("o[0].xs[0]", ""), ("o[1][0].ys[0]", ""), ("xs[0]", ""), ("xs[0][0].ys[0]", "xs[0]")]
+
+
+def test_flat_tables_have_the_columns_of_the_merged_schema(spark):
+    texts = ['{"n": 1, "o": {"f": 1.5, "b": true}, "N": "x", "u": [1, {"a": 2}], "xs": [{"n": 1, "ys": ["p"]}, null, "q"]}', '{"n": 9007199254740993, "o": {"f": 2}, "m": {"map": {"k": 1}}, "xs": [{"n": "no", "k": null}], "k": 3}', "[1]", None, "{"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    root = nested.flat_table(df, "k", "t", ARRAYS)
+    assert [c for c in root.dtypes if c[0] != "k"] == [("N", "string"), ("k 2", "bigint"), ("m.k", "bigint"), ("n 2", "bigint"), ("o.b", "boolean"), ("o.f", "double"), ("u", "string")]
+    assert sorted((tuple(r) for r in root.collect()), key=str) == [(0, "x", None, None, 1, True, 1.5, '[1,{"a":2}]'), (1, None, 3, 1, 9007199254740993, None, 2.0, None)]
+    xs = nested.flat_table(df, "k", "t", ARRAYS, "xs")
+    assert xs.columns == ["k", "item_path", "parent_path", "ordinal", "value", "k 2", "n"]
+    assert sorted((tuple(r) for r in xs.collect()), key=str) == [(0, "xs[0]", "", 0, None, None, "1"), (0, "xs[2]", "", 2, "q", None, None), (1, "xs[0]", "", 0, None, None, "no")]
+    assert rows(nested.flat_table(df, "k", "t", ARRAYS, "ys")) == [(0, "xs[0].ys[0]", "xs[0]", 0, "p")]
+
+
+def test_maps_with_data_for_keys_are_one_column(spark):
+    texts = ['{"m": {"k%d": %d}, "xs": [1]}' % (i, i) for i in range(300)]
+    got = nested.flat_table(spark.createDataFrame(list(enumerate(texts)), "k bigint, t string"), "k", "t", ARRAYS)
+    assert got.columns == ["k", "m"] and got.where("k = 7").first().m == '{"k7":7}' and got.where("m is null").count() == 0
+
+
+def test_record_tables_are_registered():
+    from ancestra.queries import general
+
+    assert {"p3_records", "p3_host_identifiers", "p3_interfaces", "p3_ip_addresses", "p3_group_ids", "p3_imported_libraries", "p3_hashes", "p3_names", "p3_parameters", "p3_components"} <= set(general.QUERIES)
+
+
 def test_nested_of_nothing(spark):
     assert nested.nested_items(spark.createDataFrame([], "k bigint, t string"), "k", "t", ARRAYS).collect() == []
 
