@@ -5,7 +5,8 @@ map-side partial aggregation, so an entity that holds a third of all rows
 becomes as many rows as it has attributes. Entities are then hash-bucketed,
 and each bucket is pivoted with Arrow: entity and attribute are dictionary
 encoded, values scattered into one numpy array per type by row and column
-index, and the result emitted as Arrow tables.
+index, and the result emitted as Arrow tables. What the typed columns can't
+hold is in ``rest``: the two tables together have every value.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ancestra.functions.identity import BLANKS, canon_name
+from ancestra.operators.skew import balanced_join
 
 #: What denotes a whole number, and what a decimal one, blanks around it aside.
 WHOLE = r"^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.0+)?$"
@@ -141,3 +143,25 @@ def pivot_wide(per: DataFrame, ident: list[str], columns: list[tuple[str, str]])
 
     rows = per.where(F.col("field").isin(names)).select(*ident, "field", "whole", "real", "text")
     return rows.repartition(*ident).sortWithinPartitions(*ident).mapInArrow(run, schema)
+
+
+def rest(df: DataFrame, per: DataFrame, ident: list[str], field: str, value: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """(ident..., field, value): the distinct texts of each entity and attribute that its cell of ``pivot_wide`` doesn't stand for.
+
+    ``per`` are the reduced rows of ``df``, ``columns`` as for ``pivot_wide``. A cell stands for the texts that denote
+    its number (if a decimal one, in at most 15 digits), or for its very text. So where values contradict each
+    other, or aren't of the column's type, all of them are here. Blanks around a value aren't kept, null and blank values are none.
+    """
+    t = F.nullif(F.btrim(F.col(value), F.lit(BLANKS)), F.lit(""))
+    rows = df.select(*ident, canon_name(field).alias("field"), t.alias("value")).dropna(subset=[*ident, "field", "value"]).distinct()
+    kinds = F.broadcast(df.sparkSession.createDataFrame(columns, "field string, __kind string"))
+    cells = per.join(kinds, "field").select(*ident, "field", "__kind", "whole", "real", "text")
+    exact = F.length(F.regexp_replace("value", "[^0-9]", "")) <= 15
+    same = (
+        F.when(F.col("__kind") == "bigint", whole_number(F.col("value")) == F.col("whole"))
+        .when(F.col("__kind") == "double", (real_number(F.col("value")) == F.col("real")) & exact)
+        .otherwise(F.col("value") == F.col("text"))
+    )
+    own = F.to_json(F.struct(*ident, "field")).alias("__own")
+    both = balanced_join(rows.select("*", own), cells.select(own, "__kind", "whole", "real", "text"), "__own")
+    return both.where(~F.coalesce(same, F.lit(False))).select(*ident, "field", "value")

@@ -87,9 +87,12 @@ def _records(name: str, field: str) -> Callable[[SparkSession, str], DataFrame]:
 RECORD_TABLES = [_records("p3_records", "")] + [_records("p3_" + re.sub("([A-Z])", r"_\1", a).lower(), a) for a in ARRAYS]
 
 
+def _annotations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "vertex_anno").withColumn("owner", F.lit("vertex")).unionByName(table(spark, d, "edge_anno").withColumn("owner", F.lit("edge")))
+
+
 def _attributes(spark: SparkSession, d: str, fields: list[str] | None = None) -> DataFrame:
-    both = table(spark, d, "vertex_anno").withColumn("owner", F.lit("vertex")).unionByName(table(spark, d, "edge_anno").withColumn("owner", F.lit("edge")))
-    per = wide.reduced(both, ["owner", "id"], "field", "value")
+    per = wide.reduced(_annotations(spark, d), ["owner", "id"], "field", "value")
     return per.where(F.col("field").isin(fields)) if fields else per
 
 
@@ -104,6 +107,12 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.pivot_wide(per, ["owner", "id"], wide.attribute_types(per))
 
 
+def p4_rest(spark: SparkSession, d: str) -> DataFrame:
+    """The values that p4_wide has no place for."""
+    per = cut(_attributes(spark, d))
+    return wide.rest(_annotations(spark, d), per, ["owner", "id"], "field", "value", wide.attribute_types(per))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.surplus(table(spark, d, "graph_element"), canon_hash(F.col("element")["hash"]), "seq", "delivered").select("seq")
 
@@ -152,5 +161,5 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_profile)
+    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p4_rest, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_profile)
 }

@@ -193,6 +193,25 @@ def test_pivot_to_typed_columns(spark):
     assert dict(wide.attribute_types(per)) == {"a": "string", "b": "string", "c": "double", "id": "bigint"}
 
 
+@pytest.mark.parametrize("odd", [1, 3])
+def test_wide_and_rest_have_every_value(spark, odd):
+    data = [(i, "size", "0x10" if i == 9 else str(i)) for i in range(odd, 20)] + [(i, "size", x) for i, x in enumerate(["12 kB", "4096B", "3.5"][:odd])]
+    data += [(5, "size", "6"), (6, "size", " 6.0 "), (1, "name", "b"), (1, "NAME", "a"), (1, "name", "a"), (2, "name", " "), (2, "name", None), (3, "big", "0x7fffffffffffffff"), (3, "big", "1")]
+    data += [(1, "ratio", "0.5"), (1, "ratio", ".5e0"), (2, "ratio", "0.12345678901234567"), (None, "size", "1")]
+    df = spark.createDataFrame(data, "id bigint, field string, value string")
+    per = wide.reduced(df, ["id"], "field", "value")
+    columns = wide.attribute_types(per)
+    assert dict(columns)["size"] == ("bigint" if odd == 1 else "string")
+    cells = {(r.id, c): r[c] for r in wide.pivot_wide(per, ["id"], columns).collect() for c, _ in columns if r[c] is not None}
+    left = {(r.id, r.field, r.value) for r in wide.rest(df, per, ["id"], "field", "value", columns).collect()}
+    for i, f, v in data:
+        if i is not None and v and v.strip():
+            cell, v = cells.get((i, f.lower())), v.strip()
+            held = cell is not None and (cell == v if isinstance(cell, str) else v.replace(".0", "") in (str(cell), hex(cell)) if isinstance(cell, int) else v == str(cell))
+            assert held != ((i, f.lower(), v) in left), (i, f, v)
+    assert {(5, "size", "6"), (1, "name", "b"), (3, "big", "0x7fffffffffffffff")} <= left if odd == 3 else {(5, "size", "5"), (5, "size", "6"), (0, "size", "12 kB")} <= left
+
+
 def test_pivot_over_many_batches(spark):
     df = spark.range(3000).select(F.col("id") % 500, F.concat(F.lit("f"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).toDF("id", "field", "value")
     per = wide.reduced(df, ["id"], "field", "value")
