@@ -154,7 +154,7 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
 
 
 def balanced_counts(df: DataFrame, key: str, out: str = "n", plan: FragmentPlan | None = None) -> DataFrame:
-    """Rows per key: first per shard in the task the plan names, then per key over at most a plan's worth of shards."""
+    """Rows per key: first per shard, as many as the plan gives a key, then per key. The tasks the plan names play no part: Spark groups shards by its own hash."""
     plan = plan or plan_fragments(df, key)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     shards = df.where(F.col(key).isNotNull()).select(key, plan.shard(F.col(key), spread).alias("__shard"))
