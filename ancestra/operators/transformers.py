@@ -420,6 +420,8 @@ def contextual_temporal_traversal(rows: DataFrame, key: str, source: Graph, roun
         front = seen.add(new)
         if front.isEmpty():
             break
+    else:
+        raise RuntimeError(f"the walk doesn't end within {rounds} levels")
     return taken.read().dropDuplicates(["id"]).drop("t")
 
 

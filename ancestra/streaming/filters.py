@@ -204,6 +204,8 @@ def cycle_avoidance(rows: DataFrame, rounds: int = 1000) -> DataFrame:
             break
         puts = stored(puts.unionByName(new))
         open_ = stored(open_.join(new.select("seq"), "seq", "left_anti"))
+    else:
+        raise RuntimeError(f"edges still go on after {rounds} rounds")
     return e.join(puts.select("seq"), "seq", "left_semi")
 
 

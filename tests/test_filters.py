@@ -146,3 +146,10 @@ def test_streams(spark, tmp_path):
     q = stateful.drop_repeat_edges(live(), ["op"]).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.seq for r in spark.table("kept").collect()) == [0, 2, 3]
+
+
+def test_cut_rounds_of_cycle_avoidance_raise(spark):
+    df = edges(spark, [("a", "b", {}), ("b", "c", {}), ("a", "b", {})])
+    assert seqs(f.cycle_avoidance(df, 2)) == [0, 1, 2]
+    with pytest.raises(RuntimeError):
+        f.cycle_avoidance(df, 1)

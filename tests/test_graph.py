@@ -243,6 +243,14 @@ def test_the_agents_query_walks_all_edges(spark, tmp_path):
     assert got.where("kind = 'edge'").count() == 3 and got.where("kind = 'vertex'").count() == 3
 
 
+def test_a_cut_contextual_walk_raises(spark):
+    g = graph(spark, {"a": P("1"), "b": P("2"), "c": P("3")}, [("a", "b", {"time": "1"}), ("b", "c", {"time": "2"})])
+    source = g.get_vertex(Compare("pid", "==", "1"))
+    assert t.contextual_temporal_traversal(t.flat(g), "time", source, 9).count() == 2
+    with pytest.raises(RuntimeError):
+        t.contextual_temporal_traversal(t.flat(g), "time", source, 1)
+
+
 def test_content_merges_after_a_transformation(spark):
     vs = {"a": P("1"), "f": FILE("/x", version="1"), "g": FILE("/x", version="2")}
     es = [("a", "f", {"operation": "read"}), ("a", "g", {"operation": "read"}), ("g", "f", {"operation": "update"})]
