@@ -55,13 +55,12 @@ def _lifetimes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lost(spark: SparkSession, d: str, refs: DataFrame) -> DataFrame:
-    loads = table(spark, d, "edges").select(F.explode(F.array(canon_hash("childvertexhash"), canon_hash("parentvertexhash"))).alias("ref"))
-    return orphans.missing(refs, _lifetimes(spark, d), "since", "until", skew.plan_fragments(loads, "ref"))
+    return orphans.missing(refs, _lifetimes(spark, d), "since", "until")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     lost = _lost(spark, d, _references(spark, d))
-    return lost.select(F.col("ident").alias("edge_hash"), "endpoint").distinct()
+    return lost.select(F.col("ident").alias("edge_hash"), "endpoint").distinct()  # an edge whose rows name different vertices
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
@@ -134,32 +133,38 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _endpoints(spark: SparkSession, d: str) -> DataFrame:
-    """(edge, key): an edge and ``child:``/``parent:`` with a vertex, for every row and endpoint."""
+    """(endpoint, vertex_hash, edge): an edge and a vertex it names, for every row and endpoint."""
     e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("p")).where("edge is not null")
-    ends = F.explode(F.array(F.concat(F.lit("child:"), "c"), F.concat(F.lit("parent:"), "p"))).alias("key")
-    return e.select("edge", ends).where("key is not null")
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("endpoint"), F.col(c).alias("vertex_hash")) for n, c in (("child", "c"), ("parent", "p"))])).alias("x")
+    return e.select("edge", ends).select("x.endpoint", "x.vertex_hash", "edge").where("vertex_hash is not null")
+
+
+def _edge_count(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "edges").select(canon_hash("hash").alias("edge")).where("edge is not null").distinct().count()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "edges").select(canon_hash("hash").alias("edge")).where("edge is not null").distinct().count()
-    ends = _endpoints(spark, d)
-    plan = skew.plan_fragments(ends, "key")  # repeated rows only make the estimate of a load a little larger
-    n = skew.balanced_counts(ends.distinct(), "key", "n_edges", plan)
-    return n.where(F.col("n_edges") * 100 >= edges).select(F.substring_index("key", ":", 1).alias("endpoint"), F.substring_index("key", ":", -1).alias("vertex_hash"), "n_edges")
+    least = -(-_edge_count(spark, d) // 100)
+    return skew.balanced_counts(_endpoints(spark, d), ["endpoint", "vertex_hash"], "edge", "n_edges", least=least)
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct edges of every vertex at either endpoint."""
+    return skew.balanced_counts(_endpoints(spark, d), ["endpoint", "vertex_hash"], "edge", "n_edges")
 
 
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Each parent vertex with its type, the edges that name it and their distinct children, by a join that splits heavy parents."""
-    e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("vertex_hash"))
-    e = e.where("edge is not null and vertex_hash is not null").distinct()
+    """Each vertex of the store with its type, the edges that name it at either endpoint and the distinct vertices at their other ends, by a join that splits heavy vertices and copies their types to the shards."""
+    e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("p")).where("edge is not null").distinct()
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("endpoint"), F.col(a).alias("vertex_hash"), F.col(b).alias("other")) for n, a, b in (("child", "c", "p"), ("parent", "p", "c"))])).alias("x")
+    ends = e.select("edge", ends).select("edge", "x.*").where("vertex_hash is not null")
     v = table(spark, d, "vertices").select(canon_hash("hash").alias("vertex_hash"), F.lower(F.col("annotations")["type"]).alias("t")).where("vertex_hash is not null").groupBy("vertex_hash").agg(F.min("t").alias("vertex_type"))
-    loads = table(spark, d, "edges").select(canon_hash("parentvertexhash").alias("vertex_hash"))
-    both = skew.balanced_join(e, v, "vertex_hash", plan=skew.plan_fragments(loads, "vertex_hash"))
-    pairs = both.groupBy("vertex_hash", "vertex_type", "c").agg(F.count("*").alias("n"))
-    return pairs.groupBy("vertex_hash", "vertex_type").agg(F.sum("n").alias("n_edges"), F.count("c").alias("n_children"))
+    both = skew.balanced_join(ends, v, "vertex_hash", plan=skew.plan_fragments(_endpoints(spark, d), "vertex_hash"))
+    pairs = both.groupBy("endpoint", "vertex_hash", "vertex_type", "other").agg(F.count("*").alias("n"))
+    return pairs.groupBy("endpoint", "vertex_hash", "vertex_type").agg(F.sum("n").alias("n_edges"), F.count("other").alias("n_others"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p4_rest, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_profile)
+    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p4_rest, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_counts, p7_profile)
 }

@@ -59,8 +59,11 @@ ends as (select 'child' as endpoint, c as vertex_hash, edge from e union select
 P7 = f"""with {ENDS} select endpoint, vertex_hash, count(*) as n_edges from ends where vertex_hash is not null group by 1, 2
 having count(*) * 100 >= (select count(distinct edge) from e)"""
 
-P7_PROFILE = f"""with {ENDS}, t as (select {_h("hash")} as vertex_hash, min(lower(annotations['type'])) as vertex_type from vertices group by 1)
-select e.p as vertex_hash, vertex_type, count(*) as n_edges, count(distinct c) as n_children from e join t on t.vertex_hash = e.p group by 1, 2"""
+P7_COUNTS = f"with {ENDS} select endpoint, vertex_hash, count(*) as n_edges from ends where vertex_hash is not null group by 1, 2"
+
+P7_PROFILE = f"""with {ENDS}, t as (select {_h("hash")} as vertex_hash, min(lower(annotations['type'])) as vertex_type from vertices group by 1),
+w as (select 'child' as endpoint, c as vertex_hash, p as other from e union all select 'parent', p, c from e)
+select endpoint, w.vertex_hash, vertex_type, count(*) as n_edges, count(distinct other) as n_others from w join t on t.vertex_hash = w.vertex_hash group by 1, 2, 3"""
 
 ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}"
 CLOCK = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
@@ -105,5 +108,6 @@ SQL = {
     "p5_kept": P5_KEPT,
     "p6_found": P6,
     "p7_found": P7,
+    "p7_counts": P7_COUNTS,
     "p7_profile": P7_PROFILE,
 }

@@ -306,8 +306,8 @@ def test_fragments_spread_heavy_keys(spark):
     keys = ["hot"] * 900 + [f"k{i}" for i in range(300)] + [None] * 50
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n bigint")
     plan = skew.plan_fragments(df, "key", 8)
-    assert len(plan.shards["hot"]) > 4 and max(plan.loads) < 2 * 1200 / 8
-    got = {r.key: r.n for r in skew.balanced_counts(df, "key", plan=plan).collect()}
+    assert max(plan.width) > 4 and max(plan.loads) < 2 * 1200 / 8 and len(plan.slots) <= (skew.BUCKETS_PER_TASK + 4) * 8
+    got = {r.key: r.n for r in skew.balanced_counts(df, "key", "n", "n", plan=plan).collect()}
     assert got == {"hot": 900} | {f"k{i}": 1 for i in range(300)}
     right = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("k1", "z"), (None, "w")], "key string, v string")
     both = skew.balanced_join(df, right, "key", plan=plan)
@@ -319,5 +319,31 @@ def test_fragments_spread_heavy_keys(spark):
     with pytest.raises(ValueError):
         skew.balanced_join(df, right, "key", "outer")
     assert skew.balanced_join(df.limit(0), right, "key").count() == 0
-    sizes = df.withColumn("__t", plan.task(F.col("key"), F.xxhash64("n"))).repartitionById(8, F.col("__t")).rdd.glom().map(len).collect()
+    sizes = skew.placed(df, "key", plan).rdd.glom().map(len).collect()
     assert max(sizes) < 400
+
+
+def test_counts_of_distinct_values_by_several_keys(spark):
+    data = [("a", "x", i % 40) for i in range(400)] + [("a", "y", 1), ("b", "x", 1), ("b", "x", 1), (None, "x", 1), ("b", "x", None), ("b", None, 5)]
+    df = spark.createDataFrame(data, "k string, l string, n bigint").withColumn("extra", F.rand())
+    assert rows(skew.balanced_counts(df, ["k", "l"], "n")) == [("a", "x", 40), ("a", "y", 1), ("b", "x", 1)]
+    assert rows(skew.balanced_counts(df, ["k", "l"], "n", least=2)) == [("a", "x", 40)]
+    assert skew.balanced_counts(df.limit(0), "k", "n").collect() == []
+
+
+def test_plans_for_many_tasks_and_heavy_keys(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("k"), (F.col("id") % 600).cast("string")).alias("key"), F.col("id").alias("n"))
+    plan = skew.plan_fragments(df, "key", 300)
+    assert max(plan.loads) <= 2 * 30_000 / 300
+    right = df.select("key").distinct().withColumn("v", F.lit(1))
+    assert skew.balanced_join(df, right, "key", plan=plan).count() == 30_000
+    assert skew.balanced_counts(df, "key", "n", plan=plan).where("n = 50").count() == 600
+
+
+def test_counting_and_missing_references_shuffle_once(spark):
+    df = spark.createDataFrame([("e1", "a"), ("e2", "a")], "n string, key string")
+    text = skew.balanced_counts(df, "key", "n")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 2 and text.count("Exchange shufflepartitionidpassthrough") == 1  # the other merges partial counts
+    refs = df.select(F.col("n").alias("ident"), F.lit("parent").alias("endpoint"), F.col("key").alias("ref"), F.lit(None).cast("timestamp").alias("at"))
+    text = orphans.missing(refs, refs.select("ref"))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in text and text.count("Exchange hashpartitioning") == 0
