@@ -2,9 +2,9 @@
 
 Each training shard (texts up to ``SHARD_WORDS`` words) gets an FM-index;
 every run of ``n`` words of every test item is searched in it backward, and
-occurrences are located. No text is shuffled. Test items come in blocks of at
-most ``BLOCK_ITEMS``: what is broadcast is one block, and a larger test set
-means more passes over the corpus and not a larger broadcast.
+occurrences are located. No text is shuffled. Test items come in blocks of about
+``BLOCK_WORDS`` words, whatever their ids: what is on the driver and sent to the tasks is one block, and a
+larger test set means more passes over the corpus, each written out, and not a larger block.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ancestra.llm.fmindex import FMIndex
+from ancestra.session import Pile
 
 WORD = re.compile(r"[^\W_]+")
 SHARD_WORDS = 300_000
-BLOCK_ITEMS = 20_000
+BLOCK_WORDS = 2_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -30,21 +31,18 @@ def words(text: str | None) -> list[str]:
 
 
 class Phrases:
-    """All runs of ``n`` words of the parts of test items, coded by the words that occur in them."""
+    """All runs of ``n`` words of the parts of test items, each the list of its words, coded by the words that occur in them."""
 
-    def __init__(self, items: list[tuple[int, list[str | None]]], n: int):
+    def __init__(self, items: list[tuple[int, list[str]]], n: int):
         self.n = n
         self.code: dict[str, int] = {}
-        grams: dict[tuple[int, ...], list[int]] = {}
-        for ident, parts in items:
-            for part in parts:
-                ids = [self.code.setdefault(w, len(self.code) + 1) for w in words(part)]
-                for i in range(len(ids) - n + 1):
-                    own = grams.setdefault(tuple(ids[i : i + n]), [])
-                    if not own or own[-1] != ident:
-                        own.append(ident)
+        grams: dict[tuple[int, ...], dict[int, None]] = {}
+        for ident, part in items:
+            ids = [self.code.setdefault(w, len(self.code) + 1) for w in part]
+            for i in range(len(ids) - n + 1):
+                grams.setdefault(tuple(ids[i : i + n]), {})[ident] = None
         self.grams = np.array(list(grams), np.int64).reshape(-1, n)
-        self.owners = list(grams.values())
+        self.owners = [list(own) for own in grams.values()]
         self.sigma = len(self.code) + 1
 
     def hits(self, text: np.ndarray) -> list[tuple[int, int]]:
@@ -76,7 +74,8 @@ def _scan(phrases: Phrases, shard_words: int, batches: Iterator[pa.RecordBatch])
     texts: dict[int, str] = {}
     shard: list[np.ndarray] = []
     begin: list[tuple[int, int, int]] = []  # (place in the shard, row number, first word of the piece)
-    idents: list = []
+    idents: dict[int, int] = {}
+    rows = 0
     size = 0
 
     def flush() -> pa.RecordBatch | None:
@@ -101,9 +100,9 @@ def _scan(phrases: Phrases, shard_words: int, batches: Iterator[pa.RecordBatch])
         size = 0
         shard.clear()
         begin.clear()
-        last = max(texts)
+        last = max(texts)  # the one a further piece may come of
         for r in [r for r in texts if r != last]:
-            del texts[r]
+            del texts[r], idents[r]
         if not out:
             return None
         cols = list(zip(*out, strict=True))
@@ -114,9 +113,8 @@ def _scan(phrases: Phrases, shard_words: int, batches: Iterator[pa.RecordBatch])
             if not text:
                 continue
             ids = np.array([phrases.code.get(w, 0) for w in words(text)] + [0], np.int32)
-            row = len(idents)
-            idents.append(ident)
-            texts[row] = text
+            row, rows = rows, rows + 1
+            idents[row], texts[row] = ident, text
             at = 0
             while at < len(ids) - 1:
                 room = shard_words - size
@@ -136,34 +134,55 @@ def _scan(phrases: Phrases, shard_words: int, batches: Iterator[pa.RecordBatch])
                     yield made
             if not size:
                 texts.clear()
+                idents.clear()
     if made := flush():
         yield made
 
 
-def leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, parts: list[str], n: int = 12, block_items: int = BLOCK_ITEMS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _blocks(rows: DataFrame, n: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items' parts in blocks of about ``block_words`` words; a longer part comes in pieces that overlap by ``n - 1`` words. At least one block, maybe empty."""
+    block: list[tuple[int, list[str]]] = []
+    size, first = 0, True
+    for r in rows.toLocalIterator():
+        for part in list(r)[1:]:
+            ws = words(part)
+            for at in range(0, max(0, len(ws) - n + 1), block_words):
+                piece = ws[at : at + block_words + n - 1]
+                block.append((r.item, piece))
+                size += len(piece)
+                if size >= block_words:
+                    yield block
+                    block, size, first = [], 0, False
+    if block or first:
+        yield block
+
+
+def leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, parts: list[str], n: int = 12, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc, item, n_words, from_char, to_char): every passage of ``n`` or more words that a text shares with a part of an item.
 
     Passages of one item that overlap or touch come as one span; ``from_char`` and ``to_char`` are
-    what to remove. A text in several pieces can give overlapping spans of one passage. Null or
-    empty texts and parts, and parts of fewer than ``n`` words, give no rows.
+    what to remove. A text in several pieces, and an item of which parts are in several blocks, can give overlapping spans of one
+    passage. Items may repeat an id, and count as one then. Null or
+    empty texts and parts, null ids of items, and parts of fewer than ``n`` words, give no rows.
     """
     if shard_words < 2 * n:
         raise ValueError("shard_words")
     source = docs.select(F.col(ident).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    rows = items.select(F.col(item).cast("bigint").alias("item"), *parts).where(F.col(item).isNotNull())
-    schema = "doc bigint, item bigint, n_words int, from_char int, to_char int"
-    out = None
-    last = None
-    while True:  # blocks in the order of item
-        block = rows if last is None else rows.where(F.col("item") > last)
-        got = block.orderBy("item").limit(block_items).collect()
-        if got or out is None:
-            phrases = Phrases([(r.item, list(r)[1:]) for r in got], n)
-            found = source.mapInArrow(lambda it, p=phrases: _scan(p, shard_words, it), schema)
-            out = found if out is None else out.unionByName(found)
-        if len(got) < block_items:
-            return out
-        last = got[-1].item
+    rows = items.select(F.col(item).cast("bigint").alias("item"), *[F.col(p).alias(f"part_{i}") for i, p in enumerate(parts)]).where("item is not null")
+    found: DataFrame | None = None
+    pile: Pile | None = None
+    for block in _blocks(rows, n, block_words):
+        if found is not None:  # more than one block: what each finds is written out
+            if pile is None:
+                pile = Pile(found)
+            else:
+                pile.add(found)
+        phrases = Phrases(block, n)
+        found = source.mapInArrow(lambda it, p=phrases: _scan(p, shard_words, it), "doc bigint, item bigint, n_words int, from_char int, to_char int")
+    if pile is None:
+        return found
+    pile.add(found)
+    return pile.read()
 
 
 def leaked_items(spans: DataFrame) -> DataFrame:
