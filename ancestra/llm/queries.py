@@ -44,7 +44,8 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     quotes = level.quotations(_table(spark, d, "eval_item"), ["prompt", "answer"])
     model = level.fit(level.training_sample(docs, "doc_id", "text", _table(spark, d, "level_label"), "band"), quotes)
-    return level.reading_levels(docs, "doc_id", "text", model, quotes).withColumnRenamed("doc", "doc_id")
+    language = level.fit_language(level.language_sample(docs, "doc_id", "text", "lang"), quotes)
+    return level.reading_levels(docs, "doc_id", "text", model, language, quotes).withColumnRenamed("doc", "doc_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
