@@ -187,11 +187,11 @@ def with_entry(lines: DataFrame, file: str, no: str, ident: str) -> DataFrame:
 
 
 def entries(lines: DataFrame, file: str, no: str, ident: str, text: bool = False) -> DataFrame:
-    """One row per entry: file, ``line_id``, ts, severity, component, n_lines and, with ``text``, message.
+    """One row per entry: file, ``line_id``, ts, severity, component, n_lines and, with ``text``, message and n_unparsed.
 
     ``lines`` are parsed lines. ``severity`` comes from the head, or from the entry's second
     line in the layout that puts it there; it is empty where there is none. ``message`` is the
-    head's message and all continuation lines, joined by line feeds. An empty table gives no rows.
+    head's message and all continuation lines, joined by line feeds, ``n_unparsed`` how many of them no layout explains. An empty table gives no rows.
     """
     own = with_entry(lines, file, no, ident)
     rest = F.when(~F.col("head"), F.struct(F.col(no).alias("no"), F.col(ident).alias("id"), F.col("level2").alias("l")))
@@ -201,10 +201,18 @@ def entries(lines: DataFrame, file: str, no: str, ident: str, text: bool = False
         F.count("*").cast("int").alias("n_lines"),
     ]
     if text:
+        aggs.append(F.count("unparsed_to").cast("int").alias("n_unparsed"))
         aggs.append(F.array_sort(F.collect_list(F.struct(F.col(no).alias("no"), F.col(ident).alias("id"), F.col("message").alias("m")))).alias("all"))
     per = own.groupBy(file, "entry_no", "entry_id").agg(*aggs)
     level = F.coalesce("h.level", F.when(F.col("h.layout") == "TwoLine", F.col("second.l")), F.lit(""))
     cols = [file, F.col("entry_id").alias("line_id"), F.col("h.ts").alias("ts"), level.alias("severity"), F.coalesce("h.component", F.lit("")).alias("component"), "n_lines"]
     if text:
         cols.append(F.ltrim(F.array_join(F.transform("all", lambda x: x["m"]), "\n"), F.lit("\n")).alias("message"))
+        cols.append("n_unparsed")
     return per.select(*cols)
+
+
+def unparsed(lines: DataFrame, ident: str) -> DataFrame:
+    """(ident, from_char, to_char, text): the spans of parsed lines that no layout explains; lines without one don't appear."""
+    left = lines.where("unparsed_to is not null")
+    return left.select(ident, F.col("unparsed_from").alias("from_char"), F.col("unparsed_to").alias("to_char"), F.expr("substr(message, unparsed_from + 1, unparsed_to - unparsed_from)").alias("text"))

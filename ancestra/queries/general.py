@@ -132,6 +132,11 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     return logparse.entries(lines, "log_file", "line_no", "line_id", text=True)
 
 
+def p6_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of lines that no layout explains."""
+    return logparse.unparsed(logparse.parse_lines(table(spark, d, "log_line"), "msg", "collected", ["line_id"]), "line_id")
+
+
 def _endpoints(spark: SparkSession, d: str) -> DataFrame:
     """(endpoint, vertex_hash, edge): an edge and a vertex it names, for every row and endpoint."""
     e = table(spark, d, "edges").select(canon_hash("hash").alias("edge"), canon_hash("childvertexhash").alias("c"), canon_hash("parentvertexhash").alias("p")).where("edge is not null")
@@ -166,5 +171,5 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p4_rest, p5_found, p5_kept, p6_found, p6_entries, p7_found, p7_counts, p7_profile)
+    for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p3_found, *RECORD_TABLES, p4_found, p4_wide, p4_rest, p5_found, p5_kept, p6_found, p6_entries, p6_unparsed, p7_found, p7_counts, p7_profile)
 }

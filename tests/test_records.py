@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ancestra.functions.earley import Grammar
 from ancestra.functions.identity import canon_hash
 from ancestra.operators import dedup, hierarchy, logparse, nested, orphans, skew, wide
 
@@ -287,6 +288,17 @@ def test_log_entries(spark):
     assert message[1] == "buffer of 2 - flushed\njava.lang.IllegalStateException: state 32\n"
     spans = rows(parsed.where("unparsed_to is not null").select("line_id", "unparsed_from", "unparsed_to"))
     assert spans == [(17, 0, len(LINES[17][2]))]
+    assert rows(logparse.unparsed(parsed, "line_id")) == [(17, 0, len(LINES[17][2]), LINES[17][2])]
+    assert {r.line_id: r.n_unparsed for r in got.collect() if r.n_unparsed} == {15: 1}
+
+
+def test_passing_alternatives_over_changes_no_parse():
+    text = "S -> A ; 0\nS -> B ; -1\nS -> S2 ; 0\nA -> x=/a+/ T ; -3\nT -> /b/ ; 0\nT -> T /b/ ; -1\nB -> y=/a/ T2 ; 0\nT2 -> /[ab]+/ ; 0\nS2 -> z=/c/ S2 ; 0\nS2 -> z=/c/ ; 0"
+    g = Grammar(text, "S")
+    assert g.parse("aab") == (-1.0, "B", [("y", 0, 1)]) and g.parse("b") is None and g.parse("") is None
+    assert g.parse("ccc")[1] == "S2" and len(g.parse("ccc")[2]) == 3
+    with pytest.raises(ValueError):
+        Grammar("S -> /a/ ; 0\nS -> S /a/ ; 1", "S")
 
 
 def test_entries_over_blocks(spark, monkeypatch):
