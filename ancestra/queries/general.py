@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    at = hierarchy.paths(cut(process_links(spark, d)))
+    at = hierarchy.paths(process_links(spark, d))
     return at.select(F.col("v").alias("vertex_hash"), F.col("root").alias("root_hash"), "depth", "on_cycle", "path")
 
 

@@ -23,6 +23,8 @@ select n.v as vertex_hash, case when n.on_ring then n.own when e.v is null then
   cast(case when n.on_ring or e.v is null then 0 else e.depth end as integer) as depth, cast(n.on_ring as integer) as on_cycle
 from spot n left join ends e on e.v = n.v left join spot r on r.v = e.e and r.on_ring"""
 
+P1_PATHS = P1.replace("arg_min(a, d) as e from", "arg_min(a, d) as e, arg_min(way, d) as way from").replace("as on_cycle\nfrom spot", "as on_cycle,\n  case when n.on_ring or e.v is null then n.v else array_to_string(list_reverse(e.way), '/') end as path\nfrom spot")
+
 P1_DESC = f"""with recursive {LINKS}
 select a as vertex_hash, v as descendant_hash, cast(min(d) as integer) as distance from up where a <> v group by 1, 2"""
 
@@ -100,6 +102,7 @@ select line_id, strftime(t, '%Y-%m-%d %H:%M:%S') as ts_utc, case
 
 SQL = {
     "p1_found": P1,
+    "p1_paths": P1_PATHS,
     "p1_descendants": P1_DESC,
     "p2_found": P2,
     "p2_report": P2_REPORT,

@@ -36,15 +36,26 @@ def climb(parent):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_contraction_gives_roots_depths_and_cycles(spark, seed):
+@pytest.mark.parametrize(("seed", "finish"), [(1, 0), (2, 0), (3, 10), (4, 1000)])
+def test_contraction_gives_roots_depths_and_cycles(spark, seed, finish):
     rng = random.Random(seed)
     parent = {f"n{i:02d}": f"n{rng.randrange(40):02d}" for i in range(32)}
     parent |= {f"c{i:02d}": f"c{i + 1:02d}" for i in range(12)}
     parent["s"] = "s"
     links = spark.createDataFrame([*parent.items(), ("c00", "c01"), (None, "x"), ("y", None)], "child string, parent string")
-    got = {r.v: (r.root, r.depth, r.on_cycle) for r in hierarchy.resolve(links).collect()}
+    got = {r.v: (r.root, r.depth, r.on_cycle) for r in hierarchy.resolve(links, finish=finish).collect()}
     assert got == climb(parent)
+    ways = {}
+    for v in got:
+        x, way = parent.get(v), []
+        while x and x not in way and x != v:
+            way.append(x)
+            x = parent.get(x)
+        ways[v] = way
+    pairs = rows(hierarchy.ancestors(links, finish=finish))
+    assert pairs == sorted((v, a, i + 1) for v, way in ways.items() for i, a in enumerate(way))
+    path = {r.v: r.path for r in hierarchy.paths(links, finish=finish).collect()}
+    assert path == {v: v if got[v][2] else "/".join([*reversed(ways[v][: got[v][1]]), v]) for v in got}
 
 
 def test_paths_and_descendants(spark):
@@ -55,6 +66,21 @@ def test_paths_and_descendants(spark):
     assert n == {"a": 3, "b": 2, "c": 0, "d": 0, "r": 0}
 
 
+@pytest.mark.parametrize("finish", [1000, 200_000])
+def test_a_chain_makes_no_pairs(spark, finish):
+    n = 20_000 if finish == 1000 else 100_000
+    links = spark.range(n).select(F.format_string("%06d", "id").alias("parent"), F.format_string("%06d", F.col("id") + 1).alias("child"))
+    got = hierarchy.resolve(links, finish=finish).agg(F.count("*"), F.min("root"), F.max("root"), F.max("depth"), F.count_distinct("depth")).first()
+    assert tuple(got) == (n + 1, "000000", "000000", n, n + 1)
+
+
+def test_paths_of_a_chain(spark):
+    links = spark.range(1500).select(F.format_string("%04d", "id").alias("parent"), F.format_string("%04d", F.col("id") + 1).alias("child"))
+    want = "/".join(f"{i:04d}" for i in range(1501))
+    for finish in (100, 200_000):
+        assert hierarchy.paths(links, finish=finish).where("v = '1500'").first().path == want
+
+
 def test_a_parent_of_most_rows(spark):
     links = spark.range(3000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("child"), F.lit("hub").alias("parent"))
     links = links.unionByName(spark.createDataFrame([("hub", "top"), ("x", "c7")], "child string, parent string"))
