@@ -35,9 +35,7 @@ def remote_lineage(found: Graph, start: Graph, depth: int, way: str, others: lis
     sockets = found.get_vertex(SOCKET)
     keys = [*LOCAL, *REMOTE]
     whole = sockets.vertex_rows.where(" and ".join(f"annotations['{k}'] is not null" for k in keys))
-    src, dst = ("child", "parent") if way[:1] == "a" else ("parent", "child")
-    steps = found.edge_rows.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    at = _levels(steps, start.v, depth)
+    at = _levels([found._steps("a" if way[:1] == "a" else "d")], start.v, depth)
     near = whole.join(at, "id").select(_ends(REMOTE).alias("l"), _ends(LOCAL).alias("r"), "depth").groupBy("l", "r").agg(F.min("depth").alias("depth"))
     store = union_store(found.store, *others)
     v, e = found.v, found.e

@@ -1,14 +1,20 @@
 """Graphs as pairs of id tables over a store of vertices and edges.
 
 A ``Store`` holds everything; a ``Graph`` names some of its vertices and edges by id.
-All operators are lazy, but for the traversals, which run one job a hop and
+Operators are lazy, but for the traversals, which run a job or two a hop and
 cut the plan after it. Edges point from child (effect) to parent (cause):
 ancestors follow child to parent.
+
+Links are written once a store and direction, as narrow rows in the order of the end a walk comes from. A hop scans them
+against its frontier: as a filter on the scan for a few ids, else as a semi join, in which Spark broadcasts a frontier
+that is small as written and shuffles otherwise. No hop sorts out repeated edges again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +22,8 @@ from pyspark.sql import functions as F
 from ancestra.functions.predicates import Predicate, has_keys
 from ancestra.session import Pile, cut, stored
 
-#: Hops after which a walk without a stated depth ends at the latest.
-UNBOUNDED = 1 << 20
+#: Frontiers of up to this many ids are a filter on the scan of links.
+FEW = 10
 
 
 @dataclass
@@ -26,6 +32,7 @@ class Store:
 
     vertices: DataFrame
     edges: DataFrame
+    _links: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -38,6 +45,17 @@ class Store:
         e = edges.select("id", "child", "parent", "annotations", F.coalesce("ref", F.lit(False)).alias("ref") if "ref" in edges.columns else F.lit(False).alias("ref")).where("id is not null and child is not null and parent is not null")
         return Store(v.dropDuplicates(["id"]), e.dropDuplicates(["id"]))
 
+    def kept(self) -> Store:
+        """The same store written out once, repeated rows gone: vertices in the order of id, edges in that of child and id, a hot child spread over files."""
+        v, e = self.vertices, self.edges
+        return Store(stored(v.repartitionByRange("id").sortWithinPartitions("id")), stored(e.repartitionByRange("child", "id").sortWithinPartitions("child", "id")))
+
+    def links(self, way: str) -> DataFrame:
+        """(id, src, dst) of all edges in the direction of a walk, written once in the order of src and id."""
+        if way not in self._links:
+            self._links[way] = _sorted_links(self.edges, way)
+        return self._links[way]
+
     @property
     def base(self) -> Graph:
         return Graph(self, self.vertices.select("id"), self.edges.select("id"), whole=True)
@@ -62,6 +80,12 @@ class Store:
         return Graph(self, got, none.e) if vertex else Graph(self, none.v, got)
 
 
+def _sorted_links(edges: DataFrame, way: str) -> DataFrame:
+    src, dst = ("child", "parent") if way == "a" else ("parent", "child")
+    rows = edges.select("id", F.col(src).alias("src"), F.col(dst).alias("dst"))
+    return stored(rows.repartitionByRange("src", "id").sortWithinPartitions("src", "id"))
+
+
 def _semi(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
     """Rows whose ``on`` is among ``ids``."""
     return rows.join(ids.select(F.col("id").alias("__in")), F.col(on) == F.col("__in"), "left_semi")
@@ -167,42 +191,40 @@ class Graph:
     # traversal
 
     def _steps(self, way: str) -> DataFrame:
-        """(id, src, dst) of the graph's edges in the direction of a walk."""
-        src, dst = ("child", "parent") if way == "a" else ("parent", "child")
-        return self.edge_rows.select("id", F.col(src).alias("src"), F.col(dst).alias("dst"))
+        """(id, src, dst) of the graph's edges in the direction of a walk, written out."""
+        return self.store.links(way) if self.whole else _sorted_links(self.edge_rows, way)
 
     def get_neighbor(self, start: Graph, way: str = "b") -> Graph:
         """One hop: the start vertices, the neighbours and the edges between."""
         v, e = start.v, self._none()
         for w in "ad" if direction_of(way) == "b" else direction_of(way):
-            hop = _semi(self._steps(w), start.v.distinct(), "src")
+            src, dst = ("child", "parent") if w == "a" else ("parent", "child")
+            hop = _semi(self.edge_rows.select("id", F.col(src).alias("src"), F.col(dst).alias("dst")), start.v.distinct(), "src")
             v, e = v.union(hop.select(F.col("dst").alias("id"))), e.union(hop.select("id"))
         return self._with(v.distinct(), e.distinct())
 
-    def _walk(self, start: DataFrame, way: str, depth: int) -> tuple[DataFrame, DataFrame]:
-        """(id, depth) of all vertices within ``depth`` hops of ``start``, and (id, depth) of the edges walked.
+    def _walk(self, start: DataFrame, way: str, depth: int | None) -> tuple[DataFrame, DataFrame]:
+        """(id, depth) of all vertices within ``depth`` hops of ``start``, and (id, dst, depth) of the edges walked.
 
         An edge counts at the hop that reads it, also if it leads back. Frontiers
-        are distinct ids, so a hot vertex is read once, and every hop writes only what is new.
+        are distinct ids, so a hot vertex is read once, and every hop writes only what is new. Without a depth the walk goes on until nothing is.
         """
         steps = self._steps(way)
         seen = Pile(start.select("id").distinct().select("id", F.lit(0).alias("depth")))
+        front = seen.read()
         edges: Pile | None = None
-        front = seen.read().select("id")
-        for k in range(1, depth + 1):
-            hop = _semi(steps, front, "src")
-            mine = stored(hop.select("id", "dst"))
-            taken = mine.select("id", F.lit(k).alias("depth"))
+        for k in count(1):
+            if (depth is not None and k > depth) or not (n := front.count()):
+                break
+            hop = _hop(steps, front, n).select("id", "dst", F.lit(k).alias("depth"))
             if edges is None:
-                edges = Pile(taken)
+                edges = Pile(hop)
+                taken = edges.read()
             else:
-                edges.add(taken)
-            new = _anti(mine.select(F.col("dst").alias("id")).distinct(), seen.read())
-            fresh = seen.add(new.select("id", F.lit(k).alias("depth")))
-            if fresh.isEmpty():
-                break
-            front = fresh.select("id")
-        none = start.select("id", F.lit(0).alias("depth")).limit(0)
+                taken = edges.add(hop)
+            new = _anti(taken.select(F.col("dst").alias("id")).distinct(), seen.read())
+            front = seen.add(new.select("id", F.lit(k).alias("depth")))
+        none = start.select("id", F.lit(None).cast("string").alias("dst"), F.lit(0).alias("depth")).limit(0)
         return seen.read(), edges.read() if edges else none
 
     def get_lineage(self, start: Graph, depth: int | None = None, way: str = "b") -> Graph:
@@ -211,13 +233,13 @@ class Graph:
             return self._with(self._none(), self._none())
         v, e = start.v.limit(0), start.v.limit(0)
         for w in "ad" if direction_of(way) == "b" else direction_of(way):
-            seen, edges = self._walk(start.v, w, UNBOUNDED if depth is None else depth)
+            seen, edges = self._walk(start.v, w, depth)
             v, e = v.union(seen.select("id")), e.union(edges.select("id"))
         return self._with(v.distinct(), e.distinct())
 
     def get_link(self, src: Graph, dst: Graph, depth: int) -> Graph:
         """Vertices on undirected walks of at most ``depth`` links between the two graphs, and all edges among them."""
-        steps = self._steps("a").select("src", "dst").union(self._steps("d").select("src", "dst"))
+        steps = [self._steps("a"), self._steps("d")]
         near = _levels(steps, dst.v, depth)
         ahead = _levels(steps, src.v, depth)
         on = near.select("id", F.col("depth").alias("d1")).join(ahead.select("id", F.col("depth").alias("d2")), "id").where(F.col("d1") + F.col("d2") <= depth)
@@ -225,7 +247,7 @@ class Graph:
 
     def _induced(self, ids: DataFrame) -> Graph:
         v = stored(ids.distinct())
-        edges = _semi(_semi(self.edge_rows.select("id", "child", "parent"), v, "child"), v, "parent")
+        edges = _semi(_semi(self.edge_rows.select("id", "child", "parent"), v, "child"), v, "parent")  # v is as small as it is written, so Spark can broadcast it
         return self._with(v, edges.select("id"))
 
     def get_simple_path(self, src: Graph, dst: Graph, depth: int | None = None) -> Graph:
@@ -234,14 +256,18 @@ class Graph:
         An edge belongs to the answer if the fewest hops from ``src`` to its child, itself, and the
         fewest hops from its parent to ``dst`` add up to at most ``depth``.
         """
-        limit = UNBOUNDED if depth is None else depth
-        steps = self._steps("a").select("id", "src", "dst")
-        to_dst = _levels(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), dst.v, limit)
-        from_src = _levels(_semi(steps, to_dst, "dst").select("src", "dst"), src.v.join(to_dst.select("id"), "id", "left_semi"), limit)
+        back, ahead = self._steps("d"), self._steps("a")
+        to_dst = _levels([back], dst.v, depth)
+        # only vertices that lead to dst are walked, and no further than what is left of the depth
+        from_src = _levels([ahead], src.v.join(to_dst.select("id"), "id", "left_semi"), depth, to_dst)
         a = from_src.select(F.col("id").alias("src"), F.col("depth").alias("d1"))
         b = to_dst.select(F.col("id").alias("dst"), F.col("depth").alias("d2"))
-        on = stored(steps.join(a, "src").join(b, "dst").where(F.col("d1") + 1 + F.col("d2") <= limit).select("id", "src", "dst"))
-        meet = _semi(src.v, dst.v)
+        on = ahead.join(a, "src").join(b, "dst")
+        on = stored((on if depth is None else on.where(F.col("d1") + 1 + F.col("d2") <= depth)).select("id", "src", "dst"))
+        return self._along(on, _semi(src.v, dst.v))
+
+    def _along(self, on: DataFrame, meet: DataFrame) -> Graph:
+        """The edges ``on(id, src, dst)``, their ends and the vertices of ``meet``."""
         v = on.select(F.col("src").alias("id")).union(on.select(F.col("dst").alias("id"))).union(meet.select("id"))
         return self._with(v.distinct(), on.select("id"))
 
@@ -258,22 +284,23 @@ class Graph:
         return out.distinct() if out is not None else self._with(self._none(), self._none())
 
     def get_shortest_path(self, src: Graph, dst: Graph, depth: int | None = None) -> Graph:
-        """All vertices on ancestor walks with the fewest edges from ``src`` to ``dst``, and those walks' edges."""
-        limit = UNBOUNDED if depth is None else depth
-        steps = self._steps("a").select("id", "src", "dst")
-        ahead = _levels(steps.select("src", "dst"), src.v, limit)
-        ends = _semi(ahead, dst.v)
-        best = ends.agg(F.min("depth").alias("d")).first().d
-        if best is None:
-            return self._with(self._none(), self._none())
-        return self.get_simple_path(self._with(src.v, self._none()), dst, best)
+        """For every vertex of ``src`` all ancestor walks with the fewest edges, at most ``depth``, to its nearest vertices of ``dst``; one that is in both is its own.
+
+        Levels to the nearest end fall by one along such a walk and along no other, so they tell the edges of all starts at once.
+        """
+        to_dst = _levels([self._steps("d")], dst.v, depth)
+        a = to_dst.select(F.col("id").alias("src"), F.col("depth").alias("d1"))
+        b = to_dst.select(F.col("id").alias("dst"), F.col("depth").alias("d2"))
+        down = stored(self._steps("a").join(a, "src").join(b, "dst").where("d1 = d2 + 1").select("id", "src", "dst"))
+        reached = _levels([down], _semi(src.v, to_dst), None)
+        return self._along(_semi(down, reached, "src"), _semi(src.v, dst.v))
 
     def path_lengths(self, src: Graph, dst: Graph, depth: int) -> list[int]:
         """The hops at which a walk over ancestors from ``src`` meets ``dst``; vertices of the hop before don't count, so a cycle can give several."""
-        steps = self._steps("a").select("src", "dst")
+        steps = self._steps("a")
         front, out = stored(src.v.distinct()), []
         for k in range(1, depth + 1):
-            reached = _semi(steps, front, "src").select(F.col("dst").alias("id")).distinct()
+            reached = _hop(steps, front, front.count()).select(F.col("dst").alias("id")).distinct()
             new = stored(_anti(reached, front))
             if new.isEmpty():
                 break
@@ -341,16 +368,28 @@ class Graph:
         return self.v.distinct().select(F.lit("vertex").alias("kind"), "id").union(self.e.distinct().select(F.lit("edge").alias("kind"), "id"))
 
 
-def _levels(steps: DataFrame, start: DataFrame, limit: int) -> DataFrame:
-    """(id, depth): the fewest hops of ``steps(src, dst)`` to every vertex within ``limit`` of ``start``."""
+def _hop(steps: DataFrame, front: DataFrame, n: int) -> DataFrame:
+    """The links whose src is one of the ``n`` distinct ids of ``front``."""
+    if n <= FEW:
+        return steps.where(F.col("src").isin([r.id for r in front.select("id").collect()]))
+    return _semi(steps, front, "src")
+
+
+def _levels(steps: list[DataFrame], start: DataFrame, limit: int | None, room: DataFrame | None = None) -> DataFrame:
+    """(id, depth): the fewest hops over any of ``steps`` to every vertex within ``limit`` of ``start``.
+
+    ``room(id, depth)`` leaves out vertices it hasn't got, and those whose depth there and here exceed ``limit``.
+    """
     seen = Pile(start.select("id").distinct().select("id", F.lit(0).alias("depth")))
-    front = seen.read().select("id")
-    for k in range(1, limit + 1):
-        hop = _semi(steps, front, "src").select(F.col("dst").alias("id")).distinct()
-        fresh = seen.add(_anti(hop, seen.read()).select("id", F.lit(k).alias("depth")))
-        if fresh.isEmpty():
+    front = seen.read()
+    for k in count(1):
+        if (limit is not None and k > limit) or not (n := front.count()):
             break
-        front = fresh.select("id")
+        hops = [_hop(s, front, n).select(F.col("dst").alias("id")) for s in steps]
+        new = reduce(lambda x, y: x.union(y), hops).distinct()
+        if room is not None:
+            new = _semi(new, room if limit is None else room.where(F.col("depth") + k <= limit))
+        front = seen.add(_anti(new, seen.read()).select("id", F.lit(k).alias("depth")))
     return seen.read()
 
 

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ancestra.functions.identity import edge_id, vertex_id
@@ -309,10 +309,12 @@ def simple_forks(rows: DataFrame) -> DataFrame:
     rows = strip(rows)
     event = F.coalesce(F.col("ea")["event id"].try_cast("bigint"), F.lit(2**62))
     pid = F.col("ca")["pid"]
-    w = Window.partitionBy("kind", pid).orderBy(event, "id")
     kind = F.when(_op().isin("fork", "clone"), "fork").when(_op() == "execve", "execve")
     marked = rows.withColumn("kind", kind)
-    firsts = marked.where(F.col("kind").isNotNull() & pid.isNotNull()).withColumn("n", F.row_number().over(w)).where("n = 1")
+    mine = marked.where(F.col("kind").isNotNull() & pid.isNotNull())
+    # a pid may hold most rows: its first event and id are found with partial results, then joined back by id
+    first = mine.groupBy("kind", pid.alias("p")).agg(F.min(F.struct(event.alias("t"), "id")).alias("f"))
+    firsts = mine.join(first.select(F.col("f.id").alias("__f")), F.col("id") == F.col("__f"), "left_semi")
     forks = firsts.where("kind = 'fork'").select(pid.alias("pid"), F.col("id").alias("fid"), F.col("ea").alias("fea"), F.col("child").alias("fc"), F.col("ca").alias("fca"), F.col("parent").alias("fp"), F.col("pa").alias("fpa"))
     execs = firsts.where("kind = 'execve'").select(pid.alias("xpid"), F.col("id").alias("xid"), F.col("child").alias("xc"), F.col("ca").alias("xca"))
     both = forks.join(execs, F.col("pid") == F.col("xpid"), "full")
@@ -482,8 +484,20 @@ def arguments(text: str) -> dict[str, str]:
     return {m[1].strip(): m[2] if m[2] is not None else m[3] for m in re.finditer(r'([\w ]*\w)\s*=\s*(?:"([^"]*)"|([^\s,]+))', text or "")}
 
 
-#: Paths of no interest (temporary, unnamed, standard streams, libraries and settings).
-NOISE_PATHS = r"^(/tmp|pipe:|/unknown).*|^.*(scoreboard|\(null\)|/dev/null|stderr|stdout|stdin).*|^.*(\.so(\..*)*|\.conf|\.lock|\.pb|\.desktop|\.service)$"
+#: How paths of no interest begin, what they are called whole, and how files begin reads of which are no news end.
+NOISE_PREFIXES = ("/tmp", "pipe:", "/unknown")
+NOISE_NAMES = (r".*scoreboard.*", r"\.", "stdin", r"\(null\)", "/dev/null", "stderr", "stdout")
+LIBRARY_SUFFIXES = (r"\.so(\..*)*", r"\.conf", r"\.lock", r"\.pb", r"\.desktop", r"\.service")
+
+
+def path_pattern(prefixes: tuple[str, ...] = (), names: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> str:
+    """A pattern that is found in paths with one of the prefixes or suffixes, or with one of the whole names."""
+    kinds = ((prefixes, "^(?:{})"), (names, "^(?:{})$"), (suffixes, "(?:{})$"))
+    return "|".join(shape.format("|".join(xs)) for xs, shape in kinds if xs)
+
+
+NOISE_PATHS = path_pattern(NOISE_PREFIXES, NOISE_NAMES)
+LIBRARY_PATHS = path_pattern(suffixes=LIBRARY_SUFFIXES)
 
 
 def beep(rows: DataFrame, source: Graph, way: str) -> DataFrame:
@@ -496,7 +510,7 @@ def beep(rows: DataFrame, source: Graph, way: str) -> DataFrame:
     for step in (no_units, no_memory, no_versions, merge_io):
         rows = step(rows)
     rows = blacklist(simple_forks(stored(rows)), NOISE_PATHS, source)
-    rows = no_ephemeral_reads(stored(rows), NOISE_PATHS if way[:1] == "a" else None, source)
+    rows = no_ephemeral_reads(stored(rows), LIBRARY_PATHS if way[:1] == "a" else None, source)
     return no_ephemeral_writes(stored(rows))
 
 
@@ -521,7 +535,7 @@ def apply(name: str, g: Graph, text: str = "", source: Graph | None = None, dept
     elif low == "blacklist":
         made = blacklist(rows, args.get("pattern", NOISE_PATHS), source)
     elif low == "noephemeralreads":
-        made = no_ephemeral_reads(rows, None if args.get("limited") == "false" else args.get("pattern", NOISE_PATHS), source)
+        made = no_ephemeral_reads(rows, None if args.get("limited") == "false" else args.get("pattern", LIBRARY_PATHS), source)
     elif low in ("opm2provtc", "provtc2opm"):
         made = (opm_to_prov_tc if low == "opm2provtc" else prov_tc_to_opm)(rows, args)
     elif low == "sanitization":

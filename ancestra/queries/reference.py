@@ -24,10 +24,24 @@ def query(fn: Query) -> Query:
     return fn
 
 
+_stores: dict[tuple, Store] = {}
+
+
+def _state(spark: SparkSession, path: str) -> int:
+    """When a table was last written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+
+
 def store(spark: SparkSession, d: str) -> Store:
-    v = spark.read.parquet(f"{d}/vertices.parquet").select(canon_hash("hash").alias("id"), "annotations", "ref")
-    e = spark.read.parquet(f"{d}/edges.parquet").select(canon_hash("hash").alias("id"), canon_hash("childvertexhash").alias("child"), canon_hash("parentvertexhash").alias("parent"), "annotations", "ref")
-    return Store.of(v, e)
+    """The store of a folder of tables, loaded once a session: repeated rows are sorted out, and vertices and edges written in the order of their keys."""
+    paths = [f"{d}/{t}.parquet" for t in ("vertices", "edges")]
+    key = (spark.sparkContext.applicationId, *[(p, _state(spark, p)) for p in paths])
+    if key not in _stores:
+        v = spark.read.parquet(paths[0]).select(canon_hash("hash").alias("id"), "annotations", "ref")
+        e = spark.read.parquet(paths[1]).select(canon_hash("hash").alias("id"), canon_hash("childvertexhash").alias("child"), canon_hash("parentvertexhash").alias("parent"), "annotations", "ref")
+        _stores[key] = Store.of(v, e).kept()
+    return _stores[key]
 
 
 def program(text: str) -> Query:
@@ -164,7 +178,9 @@ TRANSFORMS = {
     "t_no_versions": ("NoVersions", ""),
     "t_drop_keys": ("DropKeys", 'keys="event id,size,time"'),
     "t_blacklist": ("Blacklist", 'pattern="^/(etc|tmp)/"'),
+    "t_blacklist_default": ("Blacklist", ""),
     "t_no_ephemeral_reads": ("NoEphemeralReads", "limited=false"),
+    "t_no_ephemeral_reads_default": ("NoEphemeralReads", ""),
     "t_no_ephemeral_writes": ("NoEphemeralWrites", ""),
     "t_opm_to_prov": ("OPM2Prov", ""),
     "t_prov_to_opm": ("Prov2OPM", ""),

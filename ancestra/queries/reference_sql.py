@@ -190,7 +190,11 @@ SQL = {
     "r_lineage_both": _lineage(2, "ad"),
     "r_path": _out("select id from x_v", "select id from x_e", f"{START}, {FILES}, {path('x', 'start', 'files', 3)}", True),
     "r_path_legs": _out("select id from x_v union select id from y_v", "select id from x_e union select id from y_e", f"{START}, {FILES}, via as (select id from v where a['name'] = 'loomd'), {path('x', 'start', 'via', 2)}, mid as (select id from x_v where id in (select id from via)), {path('y', 'mid', 'files', 2)}", True),
-    "r_shortest_path": _out("select id from xv", "select id from xe", f"{START}, sock as (select id from v where a['subtype'] = 'network socket'), {levels('f', 'start', 6, 'c', 'p')}, {levels('t', 'sock', 6, 'p', 'c')}, best as (select min(f.d) as d from f join sock using (id)), xe as (select e.* from e join f on f.id = e.c join t on t.id = e.p where f.d + 1 + t.d <= (select d from best)), xv as (select c as id from xe union select p from xe union select id from start where id in (select id from sock))", True),
+    "r_shortest_path": _out("select id from xv", "select id from xe", f"{START}, sock as (select id from v where a['subtype'] = 'network socket'), fw(s, id, d) as (select id, id, 0 from start union select fw.s, e.p, fw.d + 1 from fw join e on e.c = fw.id where fw.d < 6), f as (select s, id, min(d) as d from fw group by 1, 2), best as (select s, min(d) as b from f where id in (select id from sock) group by 1), {levels('t', 'sock', 6, 'p', 'c')}, xe as (select distinct e.* from f join best using (s) join e on e.c = f.id join t on t.id = e.p where f.d + 1 + t.d = b), xv as (select c as id from xe union select p from xe union select id from start where id in (select id from sock))", True),
+    "r_path_lengths": f"with {BASE}, {START}, {FILES}, f0 as (select id from start), " + ", ".join(f"f{k} as (select distinct p as id from e where c in (select id from f{k - 1}) and p not in (select id from f{k - 1}))" for k in range(1, 5)) + " select cast(k as integer) as length from (" + " union all ".join(f"select {k} as k, (select count(*) from f{k} where id in (select id from files)) as n" for k in range(1, 5)) + ") where n > 0",
+    "r_remote_lineage": _out("select id from a union select id from w union select id from met", "select id from eh where c in (select id from a where d < 3) union select id from et where c in (select id from w where d < 3)", f"""{START}, eh as (select * from e where id in (select {_h("hash")} from edges where source = 'audit')), et as (select * from e where id not in (select id from eh)), {levels('a', 'start', 3, 'c', 'p', 'eh')},
+socks as (select id, a['local address'] || '|' || a['local port'] as l, a['remote address'] || '|' || a['remote port'] as r from v where a['subtype'] = 'network socket'),
+met as (select x.id, min(a.d) as d from a join socks y on y.id = a.id join socks x on x.l = y.r and x.r = y.l group by 1), w(id, d) as (select id, d from met where d < 3 union select et.p, w.d + 1 from w join et on et.c = w.id where w.d < 3)""", True),
     "r_link": _out("select id from mid", "select id from e where c in (select id from mid) and p in (select id from mid)", f"{START}, sock as (select id from v where a['protocol'] = 'tcp'), u as (select c, p from e union select p, c from e), {levels('f', 'start', 2, 'c', 'p', 'u')}, {levels('b', 'sock', 2, 'c', 'p', 'u')}, mid as (select f.id from f join b using (id) where f.d + b.d <= 2)", True),
     "r_subgraph": _out("select id from q", "select id from e where c in (select id from q) and p in (select id from q)", "q as (select id from v where a['type'] = 'Process')"),
     "r_span": _out("select id from q", "select id from e where c in (select id from q) and p in (select id from q)", "q as (select id from v where id in (select unnest([c, p]) from e where a['operation'] = 'fork'))"),

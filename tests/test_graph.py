@@ -113,6 +113,34 @@ def test_commands(store):
     assert not s.graphs
 
 
+def test_shortest_path_of_every_start(spark):
+    es = {"e1": ("s1", "d1", {}), "e2": ("s2", "m", {}), "e3": ("m", "d2", {}), "e4": ("s2", "k", {}), "e5": ("k", "d2", {}), "e6": ("s2", "l", {}), "e7": ("l", "m", {}), "e8": ("s1", "s2", {})}
+    st = make(spark, {x: {"n": x} for x in "s1 s2 s3 m k l d1 d2".split()}, es)
+    src, dst = st.vertices_by_id("s1", "s2", "s3"), st.vertices_by_id("d1", "d2")
+    assert ids(st.base.get_shortest_path(src, dst)) == ({"s1", "d1", "s2", "m", "k", "d2"}, {"e1", "e2", "e3", "e4", "e5"})
+    assert ids(st.base.get_shortest_path(src, dst, 1)) == ({"s1", "d1"}, {"e1"})
+    assert ids(st.base.get_shortest_path(st.vertices_by_id("s1"), src)) == ({"s1"}, set())
+    assert ids(st.base.get_shortest_path(st.vertices_by_id("s3"), dst)) == (set(), set())
+
+
+def test_hops_read_links_without_shuffling_them(spark):
+    st = make(spark).kept()
+    front = spark.range(50).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"))
+    from ancestra.operators.graph import _hop
+
+    for n in (3, 50):
+        plan = _hop(st.links("a"), front, n)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and ("PushedFilters: [In(src" in plan) == (n == 3)
+    assert st.links("a") is st.links("a")
+
+
+def test_default_paths_of_no_interest(spark):
+    hit = lambda pattern, paths: [r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").where(F.col("p").rlike(pattern)).collect()]
+    paths = ["/tmp/x", "/a/tmp", "pipe:[3]", "/unknown", "x scoreboard y", ".", "./a", "stdin", "/x/stdin", "(null)", "/dev/null", "/dev/null/x", "/lib/a.so", "/lib/a.so.1", "/lib/a.sox", "/etc/a.conf", "/etc/a.conf.d", "a.lock"]
+    assert hit(t.NOISE_PATHS, paths) == ["/tmp/x", "pipe:[3]", "/unknown", "x scoreboard y", ".", "stdin", "(null)", "/dev/null"]
+    assert hit(t.LIBRARY_PATHS, paths) == ["/lib/a.so", "/lib/a.so.1", "/etc/a.conf", "a.lock"]
+
+
 def test_match_and_sample(spark):
     st = make(spark, {"a": {"k": "1", "l": "x"}, "b": {"k": "1", "l": "x"}, "c": {"k": "1"}, "d": {"l": "x"}, "e": {"k": "2", "l": "x"}}, {})
     left, right = st.vertices_by_id("a", "c", "d"), st.vertices_by_id("b", "e", "d")
