@@ -12,6 +12,7 @@ that is small as written and shuffles otherwise. No hop sorts out repeated edges
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
@@ -317,15 +318,20 @@ class Graph:
     def span(self, other: Graph) -> Graph:
         return other.get_subgraph(self)
 
-    def refine_dependencies(self, pairs: list[tuple[str, str]], key: str, depth: int | None = None) -> Graph:
-        """For every pair (a, b): the paths from the sources of edges with ``key`` a to the destinations of edges with ``key`` b."""
+    def refine_dependencies(self, pairs: Iterable[tuple[str, str]], key: str, depth: int | None = None) -> Graph:
+        """For every pair (a, b): the paths from the sources of edges with ``key`` a to the destinations of edges with ``key`` b. What a pair gives is written out, so plans don't grow with the pairs."""
         from ancestra.functions.predicates import Compare
 
-        out = None
+        v: Pile | None = None
+        e: Pile | None = None
         for a, b in pairs:
             got = self.get_simple_path(self.get_edge(Compare(key, "=", a)).get_edge_source(), self.get_edge(Compare(key, "=", b)).get_edge_destination(), depth)
-            out = got if out is None else out + got
-        return out.distinct() if out is not None else self._with(self._none(), self._none())
+            if v is None:
+                v, e = Pile(got.v), Pile(got.e)
+            else:
+                v.add(got.v)
+                e.add(got.e)
+        return self._with(v.read().distinct(), e.read().distinct()) if v else self._with(self._none(), self._none())
 
     # edges that stand for one another, ranks, samples
 

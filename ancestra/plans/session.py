@@ -167,12 +167,9 @@ class Session:
 
     def _do_native(self, args: list) -> DataFrame:
         """native 'sql': Spark SQL over views ``vertices`` and ``edges`` of the store"""
-        return self.store.spark.sql(_text(args[0]), vertices=self.store.vertices, edges=self.store.edges) if "{" in _text(args[0]) else self._sql(_text(args[0]))
-
-    def _sql(self, text: str) -> DataFrame:
         self.store.vertices.createOrReplaceTempView("vertices")
         self.store.edges.createOrReplaceTempView("edges")
-        return self.store.spark.sql(text)
+        return self.store.spark.sql(_text(args[0]))
 
     def _do_env(self, args: list):
         """env set name n | env unset name | env print name | env list"""
@@ -197,10 +194,10 @@ class Session:
             return Session(self._host(_text(args[1])), self.hosts).run(_text(args[2]))
         if what == "create":
             self.graphs[args[1].text] = self.store.empty()
-            what = "link"
         g = self.graph(args[1])
-        if what == "link":
-            there = self._host(_text(args[2])).base
+        if what in ("link", "create"):
+            host = self._host(_text(args[2]))
+            there = host.vertices_by_id(*map(_text, args[3:])) if len(args) > 3 else host.base
             g.remotes = g.remotes | {_Linked(_text(args[2]), there)}
         elif what in ("unlink", "clear"):
             name = _text(args[2]) if len(args) > 2 else None

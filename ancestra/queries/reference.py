@@ -11,6 +11,7 @@ from ancestra.functions.identity import canon_hash, edge_id, vertex_id
 from ancestra.operators import federation, stats
 from ancestra.operators import transformers as t
 from ancestra.operators.graph import Store
+from ancestra.plans.language import QueryError
 from ancestra.plans.session import Session
 from ancestra.sources import writers
 from ancestra.streaming import filters as f
@@ -105,6 +106,14 @@ PROGRAMS = {
     "r_describe_keys": "describe $base vertex;",
     "r_describe_count": "describe $base edge type count;",
     "r_describe_minmax": "describe $base vertex pid minmax;",
+    "r_comments_and_escapes": "# every kind\n$out = $base.getVertex(path like '/tmp/\\%1%' or name == 'hedger\\un'); # of text\n",
+    "r_empty": "$out = vertices() + $base.getVertex(nokey != 'x') + $base.getEdge(nokey < 'x');",
+    "r_unknown_key_not": "$out = $base.getVertex(not nokey == 'x');",
+    "r_local_lineage": START + "$out = $base.getLocalLineage($start, 2, 'd');",
+    "r_link_of_subset": START + "$sock = $base.getVertex(protocol == 'tcp'); $part = $base.getEdge(type == 'Used' or type == 'WasGeneratedBy'); $out = $part.getLink($start, $sock, 2);",
+    "r_size_guard": "$none = vertices(); stat vertex pid mean $none;",
+    "r_list": START + "%p = name == 'x'; env set limit 7; list;",
+    "r_native_braces": "native 'select count(*) as n from vertices where annotations[\"pid\"] rlike \"^[0-9]{3}$\"';",
     "r_native": "native 'select annotations[\"type\"] as kind, count(*) as n from vertices group by 1';",
 }
 QUERIES |= {k: program(x) for k, x in PROGRAMS.items()}
@@ -117,6 +126,63 @@ def r_literals(spark: SparkSession, d: str) -> DataFrame:
     return s.vertices_by_id(*ids, "x" * 40).rows()
 
 
+@query
+def r_edge_literals(spark: SparkSession, d: str) -> DataFrame:
+    s = Session(store(spark, d))
+    ids = [r.id for r in s.store.edges.where(F.col("annotations")["operation"] == "fork").select("id").orderBy("id").limit(20).collect()]
+    s.run("$out = edges({});".format(", ".join(f"'{i}'" for i in [*ids, "none"])))
+    return s.graphs["$out"].rows()
+
+
+@query
+def r_dump_constraint(spark: SparkSession, d: str) -> DataFrame:
+    text = Session(store(spark, d)).run("%p = a == '1' or not b like 'x'; %p &= c > '2'; dump %p;")
+    return spark.createDataFrame([(text,)], "text string")
+
+
+@query
+def r_dump(spark: SparkSession, d: str) -> DataFrame:
+    v, e = Session(store(spark, d)).run("$x = $base.getEdgeWithEndpoints(operation == 'fork'); dump all $x;")
+    return v.select(F.lit("vertex").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), "id"))
+
+
+@query
+def r_export_guard(spark: SparkSession, d: str) -> DataFrame:
+    """What a dump of more than the limit says."""
+    s = Session(store(spark, d))
+    try:
+        s.run("env set exportLimit 3; dump $base;")
+    except QueryError as e:
+        return spark.createDataFrame([("exportLimit 3" in str(e),)], "refused boolean")
+    return spark.createDataFrame([(False,)], "refused boolean")
+
+
+@query
+def r_workspace(spark: SparkSession, d: str) -> DataFrame:
+    """The variables that are left after erase, and after reset."""
+    s = Session(store(spark, d))
+    s.run("$a = vertices('a'); $b = $a; %p = x == '1'; erase $a;")
+    left = sorted([*s.graphs, *s.constraints])
+    s.run("reset workspace;")
+    return spark.createDataFrame([(" ".join(left), len(s.graphs) + len(s.constraints))], "left string, after_reset int")
+
+
+@query
+def r_refine(spark: SparkSession, d: str) -> DataFrame:
+    """Paths between the ends of edges with two operations, for each pair."""
+    return store(spark, d).base.refine_dependencies([("fork", "read"), ("write", "fork")], "operation", 2).rows()
+
+
+@query
+def r_remote_create(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of three vertices on another host, linked and exported from here."""
+    s = store(spark, d)
+    ids = [r.id for r in s.vertices.select("id").orderBy("id").limit(3).collect()]
+    own = Session(s, {"there": s})
+    v, e = own.run("remote create $x 'there' {}; remote export $x;".format(" ".join(f"'{i}'" for i in ids)))
+    return v.select(F.lit("vertex").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), "id"))
+
+
 @query
 def r_with_keys(spark: SparkSession, d: str) -> DataFrame:
     return store(spark, d).base.vertices_with_keys("local address", "remote port").rows()

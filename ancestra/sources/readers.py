@@ -6,6 +6,8 @@ format are left out. Elements known by a name of their own get the id of that na
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,21 +94,19 @@ def read_dot(spark: SparkSession, path: str, reference: bool = True) -> Store:
     return Store.of(nodes, edges)
 
 
-def dependency_map(spark: SparkSession, path: str, most: int = 10_000) -> list[tuple[str, str]]:
-    """The ``WasDependentOn`` pairs of a DOT file, in order; each costs a path search, so more than ``most`` raise ValueError."""
+def dependency_map(spark: SparkSession, path: str) -> Iterator[tuple[str, str]]:
+    """The distinct ``WasDependentOn`` pairs of a DOT file, in order, a part at a time: each costs a path search."""
     x = _lines(spark, path).where(F.col("value").rlike(DOT_DEPENDENCY))
-    rows = x.select(F.regexp_extract("value", DOT_DEPENDENCY, 1), F.regexp_extract("value", DOT_DEPENDENCY, 2)).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} dependencies")
-    return sorted((r[0], r[1]) for r in rows)
+    rows = x.select(F.regexp_extract("value", DOT_DEPENDENCY, 1).alias("a"), F.regexp_extract("value", DOT_DEPENDENCY, 2).alias("b")).distinct().orderBy("a", "b")
+    return ((r.a, r.b) for r in rows.toLocalIterator())
 
 
 JSON_SCHEMA = f"id string, type string, `from` string, `to` string, annotations {MAP}"
 
 
-def read_json(spark: SparkSession, path: str) -> Store:
-    """Objects ``{id, type, annotations}`` and ``{from, to, type, annotations}``, as an array a file or one a line. A vertex needs a non-empty id and type; an edge both ends and type."""
-    x = spark.read.schema(JSON_SCHEMA).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> Store:
+    """Objects ``{id, type, annotations}`` and ``{from, to, type, annotations}``: an array a file, which one task reads, or with ``lines`` one a line, which many can. A vertex needs a non-empty id and type; an edge both ends and type."""
+    x = spark.read.schema(JSON_SCHEMA).json(path, multiLine=not lines)
     a = F.map_concat(F.map_filter(F.coalesce("annotations", F.create_map().cast(MAP)), lambda k, v: (k != "type") & v.isNotNull()), F.create_map(F.lit("type"), F.col("type")))
     typed = x.where("type is not null and type <> ''").withColumn("a", a)
     v = typed.where("id is not null and id <> '' and annotations is not null and `from` is null").select(reference_id(F.col("id")).alias("id"), F.col("a").alias("annotations"), F.lit(True).alias("ref"))
