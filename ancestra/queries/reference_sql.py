@@ -218,10 +218,10 @@ select round(low, 6) as low, round(high, 6) as high, (select count(*) from x whe
     "r_local_lineage": _lineage(2, "d"),
     "r_link_of_subset": _out("select id from mid", "select id from part where c in (select id from mid) and p in (select id from mid)", f"{START}, sock as (select id from v where a['protocol'] = 'tcp'), part as (select * from e where a['type'] in ('Used', 'WasGeneratedBy')), u as (select c, p from part union select p, c from part), {levels('f', 'start', 2, 'c', 'p', 'u')}, {levels('b', 'sock', 2, 'c', 'p', 'u')}, mid as (select f.id from f join b using (id) where f.d + b.d <= 2)", True),
     "r_size_guard": f"with {BASE} select avg(try_cast(a['pid'] as double)) as mean from v where false having count(*) > 0",
-    "r_list": f"with {BASE}, {START} select 'graph' as kind, '$base' as name, (select count(*) from v) || ' vertices, ' || (select count(*) from e) || ' edges' as value union all select 'graph', '$start', (select count(*) from start) || ' vertices, 0 edges' union all select 'constraint', '%p', '(\"name\" == ''x'')' union all select 'env', * from (values ('exportLimit', '4096'), ('limit', '7'), ('maxDepth', 'UNDEFINED'), ('precision', '3'))",
+    "r_list": f"with {BASE}, {START} select 'graph' as kind, '$base' as name, (select count(*) from v) || ' vertices, ' || (select count(*) from e) || ' edges' as value union all select 'graph', '$start', (select count(*) from start) || ' vertices, 0 edges' union all select 'constraint', '%p', '(\"name\" = ''x'')' union all select 'env', * from (values ('exportLimit', '4096'), ('limit', '7'), ('maxDepth', 'UNDEFINED'), ('precision', '3'))",
     "r_native_braces": f"with {BASE} select count(*) as n from v where regexp_matches(a['pid'], '^[0-9]{{3}}$')",
     "r_edge_literals": _out(e="select id from e where a['operation'] = 'fork' order by id limit 20"),
-    "r_dump_constraint": """select '(((\"a\" == ''1'') or (not (\"b\" like ''x''))) and (\"c\" > ''2''))' as text""",
+    "r_dump_constraint": """select '(((\"a\" = ''1'') or (not (\"b\" like ''x''))) and (\"c\" > ''2''))' as text""",
     "r_dump": _out("select unnest([c, p]) as id from e where a['operation'] = 'fork'", "select id from e where a['operation'] = 'fork'"),
     "r_export_guard": "select true as refused",
     "r_workspace": "select '$b %p' as left, cast(0 as integer) as after_reset",
