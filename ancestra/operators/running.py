@@ -14,38 +14,41 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
-def _blocks(df: DataFrame, seq: str, block: int) -> DataFrame:
-    return df.withColumn("__block", F.floor(F.col(seq) / block))
+def _keyed(df: DataFrame, keys: list[str], seq: str, block: int) -> DataFrame:
+    """``df`` with its keys as one text, in which null equals null, and its block: what is grouped, windowed and joined by, so rows are shuffled by it once."""
+    part = lambda k: F.coalesce(F.concat(F.length(F.col(k).cast("string")), F.lit(":"), F.col(k).cast("string")), F.lit("-"))
+    return df.withColumn("__run_key", F.concat(*map(part, keys))).withColumn("__run_block", F.floor(F.col(seq) / block))
 
 
-def last_before(df: DataFrame, keys: list[str], seq: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
-    """``df`` with ``out``: the last non-null ``value`` of an earlier row of the key, null if there is none.
+def _carried(d: DataFrame, tail: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """(__k, __b, ...): for each key and block what earlier blocks leave behind; one row a block is ordered."""
+    tails = d.groupBy("__run_key", "__run_block").agg(*[c.alias(n) for n, c in tail.items()])
+    return tails.select(F.col("__run_key").alias("__run_k"), F.col("__run_block").alias("__run_b"), *[c.alias(n) for n, c in over.items()])
+
+
+def last_before(df: DataFrame, keys: list[str], seq: str, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """``df`` with a column for each of ``values``: its last value that isn't null of an earlier row of the key, null if there is none.
 
     ``seq`` must be unique within a key for a defined order. Null keys are one key.
     """
-    d = _blocks(df, seq, block).withColumn("__value", value)
-    here = Window.partitionBy(*keys, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    tails = d.where("__value is not null").groupBy(*keys, "__block").agg(F.max_by("__value", seq).alias("__tail"))
-    want = d.select(*keys, "__block").distinct().join(tails.withColumnsRenamed({k: f"__t{i}" for i, k in enumerate(keys)} | {"__block": "__tb"}), _same(keys, "__t") & (F.col("__block") == F.col("__tb")), "left")
-    over = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = want.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"), F.last("__tail", ignorenulls=True).over(over).alias("__carry"))
-    got = d.withColumn("__own", F.last("__value", ignorenulls=True).over(here)).join(carry, _same(keys, "__k") & (F.col("__block") == F.col("__b")), "left")
-    return got.withColumn(out, F.coalesce("__own", "__carry")).drop("__block", "__value", "__own", "__carry", "__b", *[f"__k{i}" for i in range(len(keys))])
+    d = _keyed(df, keys, seq, block)
+    own = {f"__run_v{i}": v for i, v in enumerate(values.values())}
+    d = d.withColumns(own)
+    over = Window.partitionBy("__run_key").orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
+    tail = {f"__run_t{i}": F.max_by(v, F.when(F.col(v).isNotNull(), F.col(seq))) for i, v in enumerate(own)}
+    carry = _carried(d, tail, {f"__run_c{i}": F.last(f"__run_t{i}", ignorenulls=True).over(over) for i in range(len(own))})
+    here = Window.partitionBy("__run_key", "__run_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"__run_h{i}": F.last(v, ignorenulls=True).over(here) for i, v in enumerate(own)})
+    got = d.join(carry, (F.col("__run_key") == F.col("__run_k")) & (F.col("__run_block") == F.col("__run_b")))
+    return got.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(f"__run_h{i}", f"__run_c{i}").alias(out) for i, out in enumerate(values)])
 
 
 def count_before(df: DataFrame, keys: list[str], seq: str, flag: Column, out: str, block: int = BLOCK) -> DataFrame:
     """``df`` with ``out``: how many earlier rows of the key have ``flag``."""
-    d = _blocks(df, seq, block).withColumn("__flag", F.coalesce(flag.cast("bigint"), F.lit(0)))
-    here = Window.partitionBy(*keys, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(*keys, "__block").agg(F.sum("__flag").alias("__sum"))
-    over = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"), F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__carry"))
-    got = d.withColumn("__own", F.coalesce(F.sum("__flag").over(here), F.lit(0))).join(carry, _same(keys, "__k") & (F.col("__block") == F.col("__b")), "left")
-    return got.withColumn(out, F.col("__own") + F.coalesce("__carry", F.lit(0))).drop("__block", "__flag", "__own", "__carry", "__b", *[f"__k{i}" for i in range(len(keys))])
-
-
-def _same(keys: list[str], prefix: str) -> Column:
-    test = F.lit(True)
-    for i, k in enumerate(keys):
-        test = test & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
-    return test
+    d = _keyed(df, keys, seq, block).withColumn("__run_flag", F.coalesce(flag.cast("bigint"), F.lit(0)))
+    over = Window.partitionBy("__run_key").orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = _carried(d, {"__run_t": F.sum("__run_flag")}, {"__run_c": F.coalesce(F.sum("__run_t").over(over), F.lit(0))})
+    here = Window.partitionBy("__run_key", "__run_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__run_h", F.coalesce(F.sum("__run_flag").over(here), F.lit(0)))
+    got = d.join(carry, (F.col("__run_key") == F.col("__run_k")) & (F.col("__run_block") == F.col("__run_b")))
+    return got.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__run_h") + F.col("__run_c")).alias(out))

@@ -105,11 +105,15 @@ def opm_to_prov_tc(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def deduplicate(rows: DataFrame) -> DataFrame:
-    """The first row of every element by ``seq``; a stream must have a watermark, and forgets ids when it passes."""
+    """The first row of every element by ``seq``, rows without an id gone; a stream must have a watermark, and forgets ids when it passes.
+
+    One aggregation with map-side partial results, so an element that holds most rows is a row a task.
+    """
     if rows.isStreaming:
         return rows.dropDuplicatesWithinWatermark(["id"])
-    keep = rows.groupBy("id").agg(F.min("seq").alias("seq"))
-    return rows.join(keep, ["id", "seq"], "left_semi").dropDuplicates(["id", "seq"])
+    cols = [F.col(c) for c in rows.columns if c != "id"]
+    first = rows.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*cols), "seq").alias("__first"))
+    return first.select(*[F.col(c) if c == "id" else F.col(f"__first.{c}").alias(c) for c in rows.columns])
 
 
 def audit_sanity(rows: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def audit_sanity(rows: DataFrame) -> DataFrame:
 def drop_repeat_edges(rows: DataFrame, *by: str) -> DataFrame:
     """Without edges whose ``by`` annotations equal those of the edge before between the same ends."""
     value = F.struct(*[F.col("annotations")[k].alias(f"b{i}") for i, k in enumerate(by)]) if by else F.struct(F.lit(1).alias("b0"))
-    e = last_before(rows.where(is_edge()), ["child", "parent"], "seq", value, "__last")
+    e = last_before(rows.where(is_edge()), ["child", "parent"], "seq", {"__last": value})
     kept = e.where(F.col("__last").isNull() | ~F.col("__last").eqNullSafe(value)).drop("__last")
     return kept.unionByName(rows.where(~is_edge()))
 
@@ -135,7 +139,7 @@ def io_runs(rows: DataFrame, *keys: str) -> DataFrame:
     key = lambda a: F.concat_ws("\x00", *[F.col(a)[k] for k in keys])
     d = rows.where(io).withColumn("__file", F.when(used, key("pa")).otherwise(key("ca"))).withColumn("__proc", F.when(used, F.col("child")).otherwise(F.col("parent")))
     op = F.when(used, "r").otherwise("w")
-    d = last_before(d.withColumn("__op", op), ["__file", "__proc"], "seq", F.col("__op"), "__last")
+    d = last_before(d.withColumn("__op", op), ["__file", "__proc"], "seq", {"__last": F.col("__op")})
     kept = d.where(F.col("__last").isNull() | (F.col("__last") != F.col("__op"))).select(*rows.columns)
     return kept.unionByName(rows.where(~io))
 
@@ -146,17 +150,20 @@ def version_on_write(rows: DataFrame, key: str = "version", initial: int = 0, ch
     A version is the number of earlier edges with the vertex as child, so it is a running count over the rows of both ends.
     """
     e = rows.where(is_edge())
-    seen = e.select("seq", F.explode(F.array(F.struct(F.col("child").alias("v"), F.lit(True).alias("c")), F.struct(F.col("parent").alias("v"), F.lit(False).alias("c")))).alias("x")).select("seq", "x.v", "x.c")
     # of one edge the parent's row comes first, so a self-loop links the new version to the old
-    seen = seen.withColumn("__o", F.col("seq") * 2 + F.col("c").cast("int"))
-    n = count_before(seen, ["v"], "__o", F.col("c"), "n").select("seq", "c", "n")
-    nc, np_ = n.where("c").select("seq", F.col("n").alias("nc")), n.where("not c").select("seq", F.col("n").alias("np"))
-    e = e.join(nc, "seq").join(np_, "seq")
+    e = _counted_ends(e, F.lit(True))
     at = lambda a, x: t.put(F.coalesce(a, F.create_map().cast(MAP)), key, x.cast("string"))
     new, old, par = at(F.col("ca"), F.col("nc") + initial + 1), at(F.col("ca"), F.col("nc") + initial), at(F.col("pa"), F.col("np") + initial)
-    out = _edge_rows(e, new, par, F.col("annotations"))
-    links = _edge_rows(e, new, old, F.create_map(F.lit(chain[0]), F.lit(chain[1])))
-    return _with_vertices(out.unionByName(links))
+    return _with_vertices(_edge_rows(e, new, par, F.col("annotations")).unionByName(_edge_rows(e, new, old, F.create_map(F.lit(chain[0]), F.lit(chain[1])))))
+
+
+def _counted_ends(e: DataFrame, flag: Column) -> DataFrame:
+    """Edges with ``nc`` and ``np``: how many edges with ``flag`` came before that have the child, or the parent, as child."""
+    ends = F.array(F.struct(F.col("child").alias("v"), F.lit(True).alias("c"), flag.alias("f")), F.struct(F.col("parent").alias("v"), F.lit(False).alias("c"), F.lit(False).alias("f")))
+    seen = e.select("seq", F.explode(ends).alias("y")).select("seq", "y.*").withColumn("__o", F.col("seq") * 2 + F.col("c").cast("int"))
+    n = count_before(seen, ["v"], "__o", F.col("f"), "n")
+    both = n.groupBy("seq").agg(F.max(F.when(F.col("c"), F.col("n"))).alias("nc"), F.max(F.when(~F.col("c"), F.col("n"))).alias("np"))
+    return e.join(both, "seq")
 
 
 def version_process(rows: DataFrame, key: str = "version", initial: int = 0, chain: tuple[str, str] = ("edge_type", "versioning")) -> DataFrame:
@@ -164,9 +171,8 @@ def version_process(rows: DataFrame, key: str = "version", initial: int = 0, cha
     reads = is_edge() & of_type("annotations", "Used") & of_type("ca", "Process") & of_type("pa", "Artifact")
     e = count_before(rows.where(reads), ["child"], "seq", F.lit(True), "n")
     at = lambda x: t.put(F.col("ca"), key, x.cast("string"))
-    out = _edge_rows(e, at(F.col("n") + initial + 1), F.col("pa"), F.col("annotations"))
-    links = _edge_rows(e, at(F.col("n") + initial + 1), at(F.col("n") + initial), F.create_map(F.lit(chain[0]), F.lit(chain[1])))
-    return _with_vertices(out.unionByName(links))
+    new = at(F.col("n") + initial + 1)
+    return _with_vertices(_edge_rows(e, new, F.col("pa"), F.col("annotations")).unionByName(_edge_rows(e, new, at(F.col("n") + initial), F.create_map(F.lit(chain[0]), F.lit(chain[1])))))
 
 
 def _edge_rows(e: DataFrame, ca: Column, pa: Column, a: Column) -> DataFrame:
@@ -197,7 +203,7 @@ def cycle_avoidance(rows: DataFrame, rounds: int = 1000) -> DataFrame:
     open_ = stored(d.where("seq <> f"))
     for _ in range(rounds):
         both = puts.select("seq", "v", F.lit(None).cast("bigint").alias("f"), F.col("seq").alias("p")).unionByName(open_.select("seq", F.col("parent").alias("v"), "f", F.lit(None).cast("bigint").alias("p")))
-        at = last_before(both.withColumn("__o", F.col("seq") * 2 + F.col("p").isNotNull().cast("int")), ["v"], "__o", F.col("p"), "lp")
+        at = last_before(both.withColumn("__o", F.col("seq") * 2 + F.col("p").isNotNull().cast("int")), ["v"], "__o", {"lp": F.col("p")})
         new = at.where("p is null and lp > f").select("seq")
         new = stored(open_.join(new, "seq", "left_semi").select("seq", F.col("child").alias("v")))
         if new.isEmpty():
@@ -240,11 +246,9 @@ def graph_finesse(rows: DataFrame, key: str = "version", initial: int = 0) -> Da
     """Edges with versions: an edge that would close a cycle gives its child a new version (a self-loop leads from the old version to the new)."""
     closing = stored(closes_cycle(rows)).withColumn("__closes", F.lit(True))
     e = rows.where(is_edge()).join(closing, "seq", "left").withColumn("__closes", F.coalesce("__closes", F.lit(False)))
-    seen = e.select("seq", "__closes", F.explode(F.array(F.struct(F.col("child").alias("v"), F.lit(True).alias("c")), F.struct(F.col("parent").alias("v"), F.lit(False).alias("c")))).alias("x")).select("seq", "x.v", "x.c", (F.col("__closes") & F.col("x.c")).alias("up"))
-    n = count_before(seen.withColumn("__o", F.col("seq") * 2 + F.col("c").cast("int")), ["v"], "__o", F.col("up"), "n")
-    nc, np_ = n.where("c").select("seq", (F.col("n") + F.col("up").cast("int")).alias("nc")), n.where("not c").select("seq", F.col("n").alias("np"))
+    e = _counted_ends(e, F.col("__closes"))
+    e = e.withColumn("nc", F.col("nc") + F.col("__closes").cast("int"))
     loop = F.col("child") == F.col("parent")
-    e = e.join(nc, "seq").join(np_, "seq")
     at = lambda a, x: F.when(x > 0, t.put(F.coalesce(a, F.create_map().cast(MAP)), key, (x + initial).cast("string"))).otherwise(a)
     return _with_vertices(_edge_rows(e, at(F.col("ca"), F.when(loop, F.col("np")).otherwise(F.col("nc"))), at(F.col("pa"), F.when(loop, F.col("nc")).otherwise(F.col("np"))), F.col("annotations")))
 
@@ -372,8 +376,7 @@ def process_features(rows: DataFrame, beginning: float = 1.0) -> DataFrame:
     e = e.select("p", "seq", used.alias("read"), F.col("annotations")["time"].try_cast("double").alias("time"), F.coalesce(F.col("annotations")["size"].try_cast("double"), F.lit(0.0)).alias("size"), F.col("a")["path"].alias("path"), F.col("a")["remote address"].alias("host"))
     first = e.groupBy(F.col("p").alias("p0")).agg(F.min("time").alias("t0"))
     e = e.join(first, F.col("p") == F.col("p0"))
-    e = last_before(e, ["p"], "seq", F.when(F.col("read"), F.col("time")), "last_read")
-    e = last_before(e, ["p"], "seq", F.when(~F.col("read"), F.col("time")), "last_write")
+    e = last_before(e, ["p"], "seq", {"last_read": F.when(F.col("read"), F.col("time")), "last_write": F.when(~F.col("read"), F.col("time"))})
     ext = F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1), F.lit(""))
     early = F.col("time") <= F.col("t0") + beginning
     return e.groupBy(F.col("p").alias("id")).agg(

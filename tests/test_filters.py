@@ -35,7 +35,7 @@ def test_running_values(spark, block):
         if x is not None:
             last[k] = x
             n[k] = n.get(k, 0) + 1
-    got = count_before(last_before(df, ["k"], "seq", F.col("x"), "l", block), ["k"], "seq", F.col("x").isNotNull(), "n", block)
+    got = count_before(last_before(df, ["k"], "seq", {"l": F.col("x")}, block), ["k"], "seq", F.col("x").isNotNull(), "n", block)
     assert sorted((r.seq, r.l, r.n) for r in got.collect()) == want
 
 
