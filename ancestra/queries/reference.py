@@ -96,7 +96,6 @@ PROGRAMS = {
     "r_collapse": "$out = $base.collapseEdge('type');",
     "r_subset": "$out = $base.subset(10, -10);",
     "r_limit": "$out = $base.limit(25);",
-    "r_sample": "$out = $base.sample(40);",
     "r_path_lengths": START + FILES + "pathlengths $base $start $files 4;",
     "r_stat": "stat $base;",
     "r_histogram": "stat edge operation histogram $base;",
@@ -229,9 +228,22 @@ def r_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return writers.adjacency(store(spark, d).edges, "a").select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
+@query
+def r_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Of a sample of 40 vertices and 40 edges how many there are, how many different ones, and how many the store has."""
+    g = store(spark, d).base
+    got = g.sample(40).rows()
+    known = g.rows().withColumnsRenamed({"kind": "k", "id": "i"})
+    both = got.join(known, (F.col("kind") == F.col("k")) & (F.col("id") == F.col("i")), "left")
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.count("i").alias("n_known"))
+
+
 @query
 def r_private_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return stats.noisy(stats.histogram(store(spark, d).base, "edge", "operation"), "n", 1.0, seed=7)
+    """For each value of a histogram with noise of scale 1 whether its count is within 40 of the true one (missed once in e^40) and not below 0."""
+    true = stats.histogram(store(spark, d).base, "edge", "operation")
+    noisy = stats.noisy(true, "n", 1.0, seed=7).withColumnsRenamed({"value": "v", "n": "m"})
+    return true.join(noisy, F.col("value") == F.col("v")).select("value", ((F.abs(F.col("n") - F.col("m")) <= 40) & (F.col("m") >= 0)).alias("near"))
 
 
 # transformations: the result graph by content
@@ -255,7 +267,6 @@ TRANSFORMS = {
     "t_simple_forks": ("SimpleForks", ""),
     "t_sanitization": ("Sanitization", "sanitizationLevel=low"),
     "t_abe": ("ABE", "level=low key=0123456789abcdef"),
-    "t_only_addresses": ("OnlyAddresses", ""),
     "t_only_agents": ("OnlyAgents", ""),
     "t_aggregation": ("Aggregation", ""),
 }
@@ -268,6 +279,28 @@ def _transform(name: str, args: str) -> Query:
 QUERIES |= {k: _transform(*x) for k, x in TRANSFORMS.items()}
 
 
+@query
+def t_only_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as transactions that customers pay and suppliers are paid in, a line item a payment: who pays whom how much."""
+    o, li = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("orders", "lineitem"))
+    a = lambda kind, **more: F.create_map(*[x for k, c in (("type", F.lit(kind)), *more.items()) for x in (F.lit(k), c)])
+    tx = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    paid = F.concat(F.lit("in"), F.col("o_orderkey").cast("string"))
+    payer = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    got = F.concat_ws("-", F.lit("out"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    payee = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    entity, activity = a("Entity"), a("Activity")
+
+    def rows(df: DataFrame, ea, child, ca, parent, pa) -> DataFrame:
+        return df.select(F.lit("").alias("id"), ea.alias("ea"), child.alias("child"), ca.alias("ca"), parent.alias("parent"), pa.alias("pa"))
+
+    e = rows(o, a("Used"), tx("o_orderkey"), activity, paid, entity)
+    e = e.unionByName(rows(o, a("WasAttributedTo"), paid, entity, payer, a("Agent", address=payer)))
+    e = e.unionByName(rows(li, a("WasGeneratedBy", transactionValue=F.col("l_quantity").cast("int").cast("string")), got, entity, tx("l_orderkey"), activity))
+    e = e.unionByName(rows(li, a("WasAttributedTo"), got, entity, payee, a("Agent", address=payee)))
+    return t.only_addresses(e).select(F.col("ca")["address"].alias("payee"), F.col("pa")["address"].alias("payer"), F.col("ea")["transactionValue"].alias("value")).distinct()
+
+
 def _walks(name: str, args: str, way: str, depth: int | None = None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = store(spark, d).base
@@ -306,13 +339,19 @@ def filtered(change: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def _dated(rows: DataFrame) -> DataFrame:
+    """Rows with their event time as an annotation, where they have one."""
+    day = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")
+    return rows.withColumn("annotations", F.when(day.isNull(), F.col("annotations")).otherwise(t.put(F.coalesce("annotations", F.create_map().cast(t.MAP)), "day", day)))
+
+
 QUERIES |= {
     "f_add_annotation": filtered(lambda x: f.add_annotation(x, {"host": "h1"})),
     "f_drop_keys": filtered(lambda x: f.drop_keys(x, "time", "event id", "type")),
     "f_blacklist": filtered(lambda x: f.blacklist(x, "^/(etc|usr)/")),
     "f_filter_provenance": filtered(lambda x: f.filter_provenance(x, "uid", "1001")),
     "f_drop_principals": filtered(f.drop_principals),
-    "f_convert_time": filtered(lambda x: f.convert_time(x, "start time", "s.SSS", "t2", "yyyy", "vertex")),
+    "f_convert_time": filtered(lambda x: f.convert_time(_dated(x), "day", "yyyy-MM-dd HH:mm:ss", "day", "dd/MM/yyyy HH", "edge")),
     "f_opm_to_prov": filtered(lambda x: f.opm_to_prov(x, keep_unknown=False)),
     "f_opm_to_prov_tc": filtered(lambda x: f.opm_to_prov_tc(x, {"operation": "cdmOperation"})),
     "f_deduplicate": filtered(f.deduplicate),
@@ -352,12 +391,38 @@ def f_artifact_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def f_clam_prov(spark: SparkSession, d: str) -> DataFrame:
-    """Reads and the writes of the same process nearest in time, each in one pair."""
-    e = f.deduplicate(stream(spark, d)).where(f.is_edge())
-    at = F.col("annotations")["time"].try_cast("double").alias("at")
-    r = e.where(f.of_type("annotations", "Used") & f.of_type("ca", "Process")).select("id", F.col("child").alias("k"), at).where("at is not null")
-    w = e.where(f.of_type("annotations", "WasGeneratedBy") & f.of_type("pa", "Process")).select("id", F.col("parent").alias("k"), at).where("at is not null")
-    return f.nearest_in_time(r, w, "k", "at", 7200.0)
+    """Reads with the call site of the same process nearest in time; writes stand for call sites, as no source has any."""
+    x = f.deduplicate(stream(spark, d))
+    at = F.col("annotations")["time"].try_cast("double")
+    w = x.where(f.is_edge() & f.of_type("annotations", "WasGeneratedBy") & at.isNotNull() & F.col("pa")["pid"].isNotNull())
+    calls = w.select("id", F.col("pa")["pid"].alias("key"), at.alias("at"), F.create_map(F.lit("call site"), F.col("id")).alias("annotations"))
+    got = f.clam_prov(x.where(f.is_edge() & f.of_type("annotations", "Used")), calls, 7200.0)
+    return got.select("seq", "id", F.col("annotations")["call site"].alias("site"))
+
+
+@query
+def f_android_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Threads merged into their leaders; a process's parent stands for its group here, as no source names groups."""
+    group = lambda a: F.when((F.col(a)["type"] == "Process") & F.col(a)["ppid"].isNotNull(), t.put(F.col(a), "tgid", F.col(a)["ppid"])).otherwise(F.col(a))
+    x = stream(spark, d).withColumns({a: group(a) for a in ("annotations", "ca", "pa")})
+    return f.android_threads(x).select("seq", "kind", "id")
+
+
+@query
+def f_llvm_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Processes by name as functions, forks as calls: what leads to one of them."""
+    named = lambda a: F.when(F.col(a)["name"].isNotNull(), t.put(F.col(a), "FunctionName", F.col(a)["name"])).otherwise(F.col(a))
+    ident = lambda a: F.when(F.col(a)["type"] == "Artifact", t.put(F.col(a), "ID", F.col(a)["path"])).otherwise(F.col(a))
+    x = stream(spark, d)
+    for change in (named, ident):
+        x = x.withColumns({a: change(a) for a in ("annotations", "ca", "pa")})
+    calls = x.where(f.is_edge() & (F.col("annotations")["operation"] == "fork") & F.col("ca")["name"].isNotNull() & F.col("pa")["name"].isNotNull()).select(F.col("pa")["name"].alias("caller"), F.col("ca")["name"].alias("callee")).distinct()
+    return f.llvm_filter(x, calls, ["hedgerun"]).select("seq", "kind", "id")
+
+
+@query
+def f_graph_finesse(spark: SparkSession, d: str) -> DataFrame:
+    return f.graph_finesse(f.deduplicate(stream(spark, d))).select("seq", "kind", "id")
 
 
 @query

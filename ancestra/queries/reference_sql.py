@@ -161,7 +161,58 @@ def named(a: str, keys: tuple[str, ...]) -> str:
     return f"'[' || array_to_string(list_transform(list_sort(list_filter(map_entries({a}), lambda x: x.key in ({own}) and x.value is not null)), lambda x: x.key || '=' || x.value), ', ') || ']'"
 
 
+def renamed(a: str, names: dict[str, str]) -> str:
+    """A map with keys renamed; a renamed key replaces one that was there."""
+    keys = ", ".join(f"'{k}'" for k in names)
+    case = "case x.key " + " ".join(f"when '{k}' then '{v}'" for k, v in names.items()) + " end"
+    gone = " or ".join(f"(x.key = '{v}' and {a}['{k}'] is not null)" for k, v in names.items())
+    return f"map_from_entries(list_concat(list_filter(map_entries({a}), lambda x: x.key not in ({keys}) and not ({gone})), list_transform(list_filter(map_entries({a}), lambda x: x.key in ({keys})), lambda x: {{'key': {case}, 'value': x.value}})))"
+
+
+def renamed_rows(rows: str, names: dict[str, str]) -> str:
+    return f"select {renamed('ea', names)} as ea, c, {renamed('ca', names)} as ca, p, {renamed('pa', names)} as pa from ({rows})"
+
+
+def part(sep: str, *at: int) -> str:
+    """The parts of ``x.value`` joined again, with those at ``at`` (from 0) blanked."""
+    return f"array_to_string(list_transform(string_split(x.value, '{sep}'), lambda y, i: case when i in ({', '.join(str(k + 1) for k in at)}) then 'NULL' else y end), '{sep}')"
+
+
+def hidden(a: str) -> str:
+    """The lowest level of hiding."""
+    ip = f"case when x.value like '%.%' and len(string_split(x.value, '.')) = 4 then {part('.', 1)} when x.value not like '%.%' and len(string_split(x.value, ':')) = 8 then {part(':', 2, 3)} else x.value end"
+    time = r"regexp_replace(x.value, '^([0-9]+)-([0-9]+)-([0-9]+) ([0-9]+:[0-9]+:[0-9]+[.][0-9]+)$', '\1-\2-NULL \4')"
+    value = f"case when x.value is null then null when x.key in ('cwd', 'fsgid', 'fsuid', 'sgid', 'suid') then 'NULL' when x.key = 'remote address' then {ip} when x.key = 'path' then {part('/', 2)} when x.key = 'time' then {time} else x.value end"
+    return f"map_from_entries(list_transform(map_entries({a}), lambda x: {{'key': x.key, 'value': {value}}}))"
+
+
+MILLIS = "cast(floor(try_cast(ea['time'] as double) * 1000) as bigint)"
+TIME_TEXT = f"coalesce(strftime(epoch_ms({MILLIS}), '%Y-%-m-%-d %-H:%-M:%-S.') || cast({MILLIS} % 1000 as varchar), ea['time'])"
+DATED = f"case when ea['time'] is null then ea else {put('ea', 'time', TIME_TEXT)} end"
+AGENTS = f"""ends as (select c, p, case when ca['type'] = 'Agent' then p else c end as v, case when ca['type'] = 'Agent' then ca when pa['type'] = 'Agent' then pa end as a from flat),
+held as (select distinct v, md5({text("a")}) as agent from ends where a is not null), links as (select distinct c, p from ends where c <> p),
+reach(src, dst) as (select c, p from links where c in (select v from held) union select reach.src, l.p from reach join links l on l.c = reach.dst),
+pairs as (select distinct x.agent as g, y.agent as h from reach r join held x on x.v = r.src join held y on y.v = r.dst where x.v <> y.v),
+names as (select md5({text("a")}) as agent, any_value(a) as a from ends where a is not null group by 1)"""
+THREADS = f"""pr as (select * from (select *, row_number() over (partition by id order by seq) as k from s where kind = 'vertex' and lower(a['type']) = 'process') where k = 1),
+th as (select seq, a as ca, map {{'type': 'Artifact', 'location': 'threadgroup:[' || coalesce(a['tgid'], 'null') || ']'}} as ga from pr),
+te as (select seq, md5({text("ca")}) as c, md5({text("ga")}) as p, 'Used' as t from th union all select seq, md5({text("ga")}), md5({text("ca")}), 'WasGeneratedBy' from th)"""
+NOISE = "regexp_matches(@['path'], '^(/tmp|pipe:|/unknown)') or regexp_full_match(@['path'], '.*scoreboard.*|[.]|stdin|[(]null[)]|/dev/null|stderr|stdout')"
+DAY = put("coalesce(a, map())", "day", "strftime(event_time, case when kind = 'edge' then '%d/%m/%Y %H' else '%Y-%m-%d %H:%M:%S' end)")
+
 SQL = {
+    "t_opm_to_prov_tc": transformed(renamed_rows(typed(VERTEX_TYPES, EDGE_TYPES), {"operation": "cdmOperation", "uid": "owner"})),
+    "t_prov_tc_to_opm": transformed(renamed_rows(typed({x: k for k, x in VERTEX_TYPES.items()}, {x: k for k, x in EDGE_TYPES.items()}), {"operation": "cdmOperation"})),
+    "t_sanitization": transformed(f"select {hidden('ea')} as ea, c, {hidden('ca')} as ca, p, {hidden('pa')} as pa from (select {DATED} as ea, c, ca, p, pa from flat)"),
+    "t_only_agents": transformed("select map {'type': 'ActedOnBehalfOf'} as ea, g as c, x.a as ca, h as p, y.a as pa from pairs join names x on x.agent = g join names y on y.agent = h", AGENTS, True),
+    "t_only_addresses": "with o as (select l_orderkey, l_linenumber, min('s' || cast(l_suppkey as varchar)) as payee from lineitem group by 1, 2) select distinct payee, 'c' || cast(o_custkey as varchar) as payer, cast(cast(l_quantity as integer) as varchar) as value from lineitem join o using (l_orderkey, l_linenumber) join orders on l_orderkey = o_orderkey",
+    "t_blacklist_default": transformed(stripped(no("ca", NOISE) + " and " + no("pa", NOISE))),
+    "t_no_ephemeral_reads_default": transformed(stripped(f"not coalesce({is_file('pa')} and {has_part('read', 'recv')} and regexp_matches(pa['path'], '([.]so([.].*)*|[.](conf|lock|pb|desktop|service))$') and (f is null or (p0 = p1 and p0 = coalesce(ca['pid'], ''))), false)", source="(select * from flat left join wr on wr.f = flat.p)"), ALONE_READ),
+    "r_sample": f"with {BASE} select 'vertex' as kind, least(40, count(*)) as n, least(40, count(*)) as n_distinct, least(40, count(*)) as n_known from v union all select 'edge', least(40, count(*)), least(40, count(*)), least(40, count(*)) from e",
+    "r_private_histogram": f"with {BASE} select a['operation'] as value, true as near from e where a['operation'] is not null group by 1",
+    "f_convert_time": filtered(a=f"case when event_time is null then coalesce(a, map()) else {DAY} end", source="(select s.*, g.event_time from s join graph_element g using (seq))"),
+    "f_attribute_label": f"with recursive {STREAM}, pv as (select id, max(cast(a['name'] = 'hedgerun' as integer)) as m from s where kind = 'vertex' and a['type'] = 'Process' and a['name'] is not null group by 1), es as (select distinct seq, c, p from s where kind = 'edge'), tt(id, since) as (select id, cast(-1 as bigint) from pv where m = 1 union select es.c, es.seq from tt join es on es.p = tt.id where es.seq > tt.since) select id, 'malicious' as label from tt group by 1 union all select id, 'benign' from pv where id not in (select id from tt)",
+    "f_linux_threads": f"with {STREAM}, {THREADS} select seq, kind, id, {text('b')} as text from (select seq, kind, id, coalesce(a, map()) as b from s) union all select seq, 'edge', md5(c || ',{{type=' || t || '}},' || p), '{{type=' || t || '}}' from te union all select min(seq), 'vertex', md5({text('ga')}), any_value({text('ga')}) from th group by 3",
     "r_vertex_equal": _vertex("a['type'] = 'Process' and a['uid'] = '1001'"),
     "r_vertex_not_equal": _vertex("a['name'] <> 'loomd'"),
     "r_vertex_not": _vertex("not coalesce(a['name'] = 'loomd', false)"),

@@ -344,7 +344,7 @@ def llvm_filter(rows: DataFrame, calls: DataFrame, functions: list[str]) -> Data
 
 def linux_threads(rows: DataFrame) -> DataFrame:
     """Adds an artifact for each thread group, which every process of it uses and generates."""
-    p = rows.where(~is_edge() & (F.lower(F.col("annotations")["type"]) == "process")).dropDuplicates(["id"])
+    p = deduplicate(rows.where(~is_edge() & (F.lower(F.col("annotations")["type"]) == "process")))
     group = F.create_map(F.lit("type"), F.lit("Artifact"), F.lit("location"), F.concat(F.lit("threadgroup:["), F.coalesce(F.col("annotations")["tgid"], F.lit("null")), F.lit("]")))
     d = p.select("seq", "source", "event_time", F.col("annotations").alias("ca"), group.alias("pa"))
     kind = lambda x: F.create_map(F.lit("type"), F.lit(x))
