@@ -27,18 +27,23 @@ HEX = r"^0[xX][0-9a-fA-F]+$"
 DECIMAL = r"^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]+)?([eE][+-]?[0-9]{1,3})?$"
 
 
+#: What stands for whole numbers too long to be told apart.
+BEYOND = "9" * 38
+
+
 def whole_number(c: Column) -> Column:
     """The whole number a text denotes, as decimal(38,0), or null.
 
-    More than 38 digits, or more than 15 hexadecimal ones after leading
-    zeros, are beyond any column here and denote none.
+    One of more than 37 digits, or of more than 16 hexadecimal ones, after leading zeros, is BEYOND: it has no place in a column,
+    but still contradicts any number that has.
     """
-    t = F.btrim(c, F.lit(BLANKS + " "))
-    plain = F.regexp_replace(F.regexp_replace(t, r"\.0+$", ""), ",", "")
+    t = F.btrim(c, F.lit(BLANKS + " "))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\.0+$", ""), ",", ""), r"^([+-]?)0+(?=[0-9])", "$1")
     digits = F.regexp_extract(t, r"^0[xX]0*([0-9a-fA-F]*)$", 1)
+    beyond = F.lit(BEYOND).cast("decimal(38,0)")
     return (
-        F.when(t.rlike(WHOLE), plain.try_cast("decimal(38,0)"))
-        .when(t.rlike(HEX) & (F.length(digits) <= 15), F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).try_cast("decimal(38,0)"))
+        F.when(t.rlike(WHOLE), F.when(F.length(plain) > 38, beyond).otherwise(F.coalesce(plain.try_cast("decimal(38,0)"), beyond)))
+        .when(t.rlike(HEX), F.when(F.length(digits) > 16, beyond).otherwise(F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).try_cast("decimal(38,0)")))
     )
 
 
@@ -111,17 +116,19 @@ def pivot_wide(per: DataFrame, ident: list[str], columns: list[tuple[str, str]])
         for kind in set(kinds.values()):
             held = table.column(source[kind]).combine_chunks()
             empty = {"bigint": 0, "double": 0.0, "string": None}[kind]
-            grid = np.full((len(first), len(names)), empty, dtype={"bigint": np.int64, "double": np.float64, "string": object}[kind])
-            valid = np.zeros((len(first), len(names)), bool)
-            there = held.is_valid().to_numpy(zero_copy_only=False)
+            own = np.array([kinds[c] == kind for c in names])
+            at = np.cumsum(own) - 1  # the column within the grid of its type
+            grid = np.full((len(first), own.sum()), empty, dtype={"bigint": np.int64, "double": np.float64, "string": object}[kind])
+            valid = np.zeros(grid.shape, bool)
+            there = held.is_valid().to_numpy(zero_copy_only=False) & own[col]
             values = (held.fill_null(empty) if kind != "string" else held).to_numpy(zero_copy_only=False)
-            grid[row[there], col[there]] = values[there]
-            valid[row[there], col[there]] = True
-            grids[kind] = grid, valid
+            grid[row[there], at[col[there]]] = values[there]
+            valid[row[there], at[col[there]]] = True
+            grids[kind] = grid, valid, at
         arrays = [k.take(pa.array(first)) for k in keys]
         for i, c in enumerate(names):
-            grid, valid = grids[kinds[c]]
-            arrays.append(pa.array(grid[:, i], arrow[kinds[c]], mask=~valid[:, i]))
+            grid, valid, at = grids[kinds[c]]
+            arrays.append(pa.array(grid[:, at[i]], arrow[kinds[c]], mask=~valid[:, at[i]]))
         return pa.RecordBatch.from_arrays(arrays, names=[*ident, *outs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from ancestra.functions.identity import annotations_text
 from ancestra.operators import nested
 from ancestra.operators.graph import Store
 from ancestra.queries.reference import store
-from ancestra.session import shared_dir
+from ancestra.session import run_dir
 from ancestra.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def query(fn):
 
 
 def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/f-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/f-{uuid.uuid4().hex}"
 
 
 def _content(s: Store) -> DataFrame:

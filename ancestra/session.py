@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,10 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         wanted = tempfile.mkdtemp(prefix="ancestra-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has written in the shared folder: results that weren't computed to the end can't be any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` reliably, so later plans start from its rows."""
     shared_dir(df.sparkSession)
@@ -52,7 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: columnar, prunable, survives executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,7 +81,7 @@ class Pile:
 
     def __init__(self, first: DataFrame):
         self.spark, self.schema = first.sparkSession, first.schema
-        self.base = f"{shared_dir(self.spark).rstrip('/')}/p-{uuid.uuid4().hex}"
+        self.base = f"{run_dir(self.spark)}/p-{uuid.uuid4().hex}"
         self.pieces: list[str] = []
         self.add(first)
 

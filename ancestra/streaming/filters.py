@@ -8,10 +8,12 @@ order are, in batch, running values by ``seq``; their streaming forms are in ``s
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ancestra.functions.identity import edge_id, vertex_id
+from ancestra.operators import cycles
 from ancestra.operators import transformers as t
 from ancestra.operators.running import count_before, last_before
 from ancestra.session import Pile, stored
@@ -215,18 +217,36 @@ def cycle_avoidance(rows: DataFrame, rounds: int = 1000) -> DataFrame:
     return e.join(puts.select("seq"), "seq", "left_semi")
 
 
-def closes_cycle(rows: DataFrame, rounds: int = 64) -> DataFrame:
+#: Edges that one task goes through in order.
+IN_ORDER = 1_000_000
+
+
+def _closing_in_order(batches):
+    """(seq) of edges (seq, src, dst) of one task that close a cycle."""
+    held = [b for b in batches if len(b)]
+    if held:
+        rows = pa.Table.from_batches(held).sort_by("seq")
+        src, dst, n = cycles.ranks(zip(rows["src"].to_pylist(), rows["dst"].to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([rows["seq"].combine_chunks().filter(pa.array(cycles.closing(src, dst, n)))], names=["seq"])
+
+
+def closes_cycle(rows: DataFrame, rounds: int = 64, in_order: int = IN_ORDER) -> DataFrame:
     """(seq): the edges whose parent reached their child over earlier edges (self-loops included); they get a new version of the child.
 
-    Only edges on a cycle of the whole graph can be such, so vertices without edges in or out are first trimmed away, round by round;
-    over what is left the smallest possible latest edge of a walk between two vertices is found by doubling.
+    At most ``in_order`` edges, counted, are gone through in order by one task. Of more, only edges on a cycle of the whole graph
+    can be such, so vertices without edges in or out are trimmed away, round by round, until what is left is few enough; of a core of more than that
+    the smallest possible latest edge of a walk between two vertices is found by doubling, for all pairs.
     """
     e = stored(rows.where(is_edge()).select("seq", F.col("child").alias("src"), F.col("parent").alias("dst")))
+    n = e.count()
+    if n <= in_order:
+        return e.coalesce(1).mapInArrow(_closing_in_order, "seq bigint")
     core = e.where("src <> dst")
-    n = -1
     while True:
         core = stored(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         now = core.count()
+        if now <= in_order:
+            return core.select("seq", "src", "dst").coalesce(1).mapInArrow(_closing_in_order, "seq bigint").union(e.where("src = dst").select("seq"))
         if now == n:
             break
         n = now
@@ -237,6 +257,8 @@ def closes_cycle(rows: DataFrame, rounds: int = 64) -> DataFrame:
         if more.join(walk, ["src", "dst", "b"], "left_anti").isEmpty():
             break
         walk = more
+    else:
+        raise RuntimeError(f"walks of more than 2^{rounds} edges")
     back = walk.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "b")
     hit = core.join(back, ["src", "dst"]).where("b < seq").select("seq")
     return hit.union(e.where("src = dst").select("seq")).distinct()

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ancestra.operators import cycles
 from ancestra.operators.running import count_before, last_before
 from ancestra.streaming import filters as f
 from ancestra.streaming import stateful
@@ -81,6 +82,7 @@ def test_cycles(spark):
                 put.append(i)
     df = edges(spark, items)
     assert sorted(r.seq for r in f.closes_cycle(df).collect()) == want
+    assert sorted(r.seq for r in f.closes_cycle(df, in_order=0).collect()) == want
     assert seqs(f.cycle_avoidance(df)) == put
     n = {}
     made = {r.seq: (r.ca["n"] + r.ca.get("version", "0"), r.pa["n"] + r.pa.get("version", "0")) for r in f.graph_finesse(df).where("kind = 'edge'").collect()}
@@ -153,3 +155,23 @@ def test_cut_rounds_of_cycle_avoidance_raise(spark):
     assert seqs(f.cycle_avoidance(df, 2)) == [0, 1, 2]
     with pytest.raises(RuntimeError):
         f.cycle_avoidance(df, 1)
+
+
+def test_closing_edges_in_order():
+    for seed in range(300):
+        r = random.Random(seed)
+        n, m = r.randrange(2, 14), r.randrange(1, 40)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        links, want = {}, []
+        for a, b in edges:
+            seen, todo = {b}, [b]
+            while todo:
+                for y in links.get(todo.pop(), ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            want.append(a in seen)
+            links.setdefault(a, set()).add(b)
+        src, dst, k = cycles.ranks(edges)
+        assert cycles.closing(src, dst, k).tolist() == want
+    assert cycles.closing(*cycles.ranks([])).tolist() == []

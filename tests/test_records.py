@@ -204,7 +204,7 @@ def test_nested_of_nothing(spark):
 # attribute rows
 
 
-@pytest.mark.parametrize(("text", "want"), [(" 42 ", 42), ("+7", 7), ("-007", -7), ("1,234,567", 1234567), ("12.000", 12), ("0x1F", 31), ("0xzz", None), ("12 kB", None), ("1,23", None), ("1.5", None), ("", None), (None, None), ("0x", None), ("9223372036854775808", 9223372036854775808)])
+@pytest.mark.parametrize(("text", "want"), [(" 42 ", 42), ("+7", 7), ("-007", -7), ("1,234,567", 1234567), ("12.000", 12), ("0x1F", 31), ("0xzz", None), ("12 kB", None), ("1,23", None), ("1.5", None), ("", None), (None, None), ("0x", None), ("9223372036854775808", 9223372036854775808), ("0x7fffffffffffffff", 2**63 - 1), ("0xffffffffffffffff", 2**64 - 1), ("0x1" + "0" * 16, int(wide.BEYOND)), ("1" * 50, int(wide.BEYOND)), ("0" * 60 + "5", 5)])
 def test_whole_numbers(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(wide.whole_number(F.col("t"))).first()[0]
@@ -239,6 +239,11 @@ def test_wide_and_rest_have_every_value(spark, odd):
     assert {(5, "size", "6"), (1, "name", "b"), (3, "big", "0x7fffffffffffffff")} <= left if odd == 3 else {(5, "size", "5"), (5, "size", "6"), (0, "size", "12 kB")} <= left
 
 
+def test_numbers_too_long_contradict(spark):
+    df = spark.createDataFrame([(1, "n", "0x7fffffffffffffff"), (2, "n", "5"), (2, "n", "7" * 45), (3, "n", "8" * 45), (4, "n", "0xfffffffffffffffff"), (4, "n", "4")], "id bigint, field string, value string")
+    assert {r.id: r.whole for r in wide.reduced(df, ["id"], "field", "value").collect()} == {1: 2**63 - 1, 2: None, 3: None, 4: None}
+
+
 def test_pivot_over_many_batches(spark):
     df = spark.range(3000).select(F.col("id") % 500, F.concat(F.lit("f"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).toDF("id", "field", "value")
     per = wide.reduced(df, ["id"], "field", "value")
