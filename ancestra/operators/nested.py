@@ -2,7 +2,7 @@
 
 One Arrow pass reads each JSON text, drops wrappers that only name a type, takes
 named arrays as arrays however they were written, and explodes them level by level
-into child items that carry record key, parent path and ordinal. Nothing is
+into child items that carry record key, surrogate keys of item and parent, parent path and ordinal. Nothing is
 shuffled, and neither the length of a value nor the depth of a record is limited.
 ``flat_table`` gives the flat table of the records or of one array, with the
 columns of the merged schema of all of its rows, which a first pass infers.
@@ -218,12 +218,16 @@ def normalise(df: DataFrame, key: str, text: str, arrays: list[str]) -> DataFram
     return flat.where("body is not null").select(key, F.parse_json("body").alias("body"))
 
 
-def items_of(body: dict, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, object]]:
-    """(path, parent path, field, ordinal, item) of every non-null item of the named arrays of a record, level by level."""
-    level: list[tuple[str, object]] = [("", body)]
+def items_of(body: dict, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, object, int, int]]:
+    """(path, parent path, field, ordinal, item, number, parent's number) of every non-null item of the named arrays of a record, level by level.
+
+    Items are numbered from 1 in this order, the record is 0: record and number are a surrogate key.
+    """
+    level: list[tuple[str, object, int]] = [("", body, 0)]
+    number = 0
     while level:
-        below: list[tuple[str, object]] = []
-        for parent, item in level:
+        below: list[tuple[str, object, int]] = []
+        for parent, item, own in level:
             todo = [(parent, item)]
             while todo:
                 path, v = todo.pop()
@@ -238,8 +242,9 @@ def items_of(body: dict, arrays: frozenset[str]) -> Iterator[tuple[str, str, str
                     for i, y in enumerate(x or ()):
                         if y is not None:
                             at = f"{here}[{i}]"
-                            yield at, parent, k, i, y
-                            below.append((at, y))
+                            number += 1
+                            yield at, parent, k, i, y, number, own
+                            below.append((at, y, number))
         level = below
 
 
@@ -249,14 +254,14 @@ def _well_formed(text: str) -> str:
 
 
 def nested_items(df: DataFrame, key: str, text: str, arrays: list[str], values: bool = True) -> DataFrame:
-    """(key, item_path, parent_path, field, ordinal, item): every non-null item of the named arrays of JSON texts at any depth.
+    """(key, item_path, parent_path, field, ordinal, item, item_no, parent_no): every non-null item of the named arrays of JSON texts at any depth.
 
-    Null items count for ordinals and paths, but give no rows, nor do null texts and those that aren't
+    ``item_no`` numbers the items of a record from 1, and ``parent_no`` is that of the item that holds the array, 0 for the record. Null items count for ordinals and paths, but give no rows, nor do null texts and those that aren't
     one complete JSON object. ``item`` is JSON text; without ``values`` it is null, which saves writing it.
     """
     names = frozenset(arrays)
-    columns = [key, "item_path", "parent_path", "field", "ordinal", "item"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+    columns = [key, "item_path", "parent_path", "field", "ordinal", "item", "item_no", "parent_no"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,14 +270,14 @@ def nested_items(df: DataFrame, key: str, text: str, arrays: list[str], values:
             chars = 0
 
             def batch(b=b) -> pa.RecordBatch:
-                own = b.column(0).take(pa.array(owner, pa.int64()))
-                return pa.RecordBatch.from_arrays([own, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=columns)
+                key_column = b.column(0).take(pa.array(owner, pa.int64()))
+                return pa.RecordBatch.from_arrays([key_column, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=columns)
 
             for n in range(len(b)):
                 body = canonical_value(b.column(1)[n].as_py(), names)
-                for path, parent, field, i, v in items_of(body, names) if body is not None else ():
+                for path, parent, field, i, v, no, own in items_of(body, names) if body is not None else ():
                     item = dump(v) if values else None
-                    rows.append((_well_formed(path), _well_formed(parent), field, i, item))
+                    rows.append((_well_formed(path), _well_formed(parent), field, i, item, no, own))
                     owner.append(n)
                     chars += len(path) + len(parent) + len(item or "")
                     if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
@@ -282,7 +287,7 @@ def nested_items(df: DataFrame, key: str, text: str, arrays: list[str], values:
                 yield batch()
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` {kind}, item_path string, parent_path string, field string, ordinal int, item string")
+    return df.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` {kind}, item_path string, parent_path string, field string, ordinal int, item string, item_no int, parent_no int")
 
 
 def child_table(items: DataFrame, key: str, field: str, columns: dict[str, str]) -> DataFrame:
@@ -332,10 +337,10 @@ def _merged_kind(kinds: set[str]) -> str:
     return "boolean" if held == {"boolean"} else "string"
 
 
-def _rows_of(body: dict, field: str | None, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, object]]:
+def _rows_of(body: dict, field: str | None, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, object, int, int]]:
     """The record itself, as the item of the field ``""``, and its items; only those of ``field`` if it is given."""
     if not field:
-        yield "", "", "", 0, body
+        yield "", "", "", 0, body, 0, 0
     if field != "":
         yield from (x for x in items_of(body, arrays) if field is None or x[2] == field)
 
@@ -356,7 +361,7 @@ def infer_schema(df: DataFrame, text: str, arrays: list[str], most: int = 100_00
             new = []
             for t in b.column(0):
                 body = canonical_value(t.as_py(), names)
-                for _, _, field, _, item in _rows_of(body, None, names) if body is not None else ():
+                for _, _, field, _, item, _, _ in _rows_of(body, None, names) if body is not None else ():
                     for way, v in fields_of(item, names, folded.setdefault(field, set())):
                         for n in range(1, len(way)):
                             mine = keys.setdefault((field, way[:n]), set())
@@ -388,7 +393,7 @@ def infer_schema(df: DataFrame, text: str, arrays: list[str], most: int = 100_00
 
 
 def flat_table(df: DataFrame, key: str, text: str, arrays: list[str], field: str = "") -> DataFrame:
-    """The flat table of the array ``field``: key, item_path, parent_path, ordinal and a typed column for everything its items hold; of the records if it is "".
+    """The flat table of the array ``field``: key, item_no, parent_no, item_path, parent_path, ordinal and a typed column for everything its items hold; of the records if it is "".
 
     Objects within an item give columns with dotted names, further arrays and maps JSON text, an item that isn't an object the column
     ``value``. A column has the type that holds all its values, else it is text. A name that is taken, letters' case aside, gets a number.
@@ -396,7 +401,8 @@ def flat_table(df: DataFrame, key: str, text: str, arrays: list[str], field: str
     names = frozenset(arrays)
     columns = infer_schema(df, text, arrays)[field]
     folded = frozenset(w for w, k in columns.items() if k == "map")
-    fixed = ["item_path", "parent_path", "ordinal"] if field else []
+    fixed = ["item_no", "parent_no", "item_path", "parent_path", "ordinal"] if field else []
+    whole = ("item_no", "parent_no", "ordinal")
     taken = {c.lower() for c in (key, *fixed)}
     outs = []
     for way in columns:
@@ -408,8 +414,8 @@ def flat_table(df: DataFrame, key: str, text: str, arrays: list[str], field: str
         taken.add(name.lower())
         outs.append(name)
     types = {"bigint": (pa.int64(), T.LongType()), "double": (pa.float64(), T.DoubleType()), "boolean": (pa.bool_(), T.BooleanType()), "string": (pa.string(), T.StringType()), "map": (pa.string(), T.StringType())}
-    schema = T.StructType([df.schema[key]] + [T.StructField(c, T.IntegerType() if c == "ordinal" else T.StringType()) for c in fixed] + [T.StructField(o, types[k][1]) for o, k in zip(outs, columns.values(), strict=True)])
-    kinds = [pa.int32() if c == "ordinal" else pa.string() for c in fixed] + [types[k][0] for k in columns.values()]
+    schema = T.StructType([df.schema[key]] + [T.StructField(c, T.IntegerType() if c in whole else T.StringType()) for c in fixed] + [T.StructField(o, types[k][1]) for o, k in zip(outs, columns.values(), strict=True)])
+    kinds = [pa.int32() if c in whole else pa.string() for c in fixed] + [types[k][0] for k in columns.values()]
 
     def held(v, kind: str):
         if v is None or kind in ("bigint", "boolean"):
@@ -425,15 +431,15 @@ def flat_table(df: DataFrame, key: str, text: str, arrays: list[str], field: str
             chars = 0
 
             def batch(b=b) -> pa.RecordBatch:
-                own = b.column(0).take(pa.array(owner, pa.int64()))
-                return pa.RecordBatch.from_arrays([own, *[pa.array(x, t) for x, t in zip(cells, kinds, strict=True)]], names=schema.fieldNames())
+                key_column = b.column(0).take(pa.array(owner, pa.int64()))
+                return pa.RecordBatch.from_arrays([key_column, *[pa.array(x, t) for x, t in zip(cells, kinds, strict=True)]], names=schema.fieldNames())
 
             for n in range(len(b)):
                 t = b.column(1)[n].as_py()
                 body = canonical_value(t, names)
-                for path, parent, _, i, item in _rows_of(body, field, names) if body is not None else ():
+                for path, parent, _, i, item, no, own in _rows_of(body, field, names) if body is not None else ():
                     got = dict(fields_of(item, names, folded))
-                    row = [*([_well_formed(path), _well_formed(parent), i] if field else []), *[held(got.get(w), k) for w, k in columns.items()]]
+                    row = [*([no, own, _well_formed(path), _well_formed(parent), i] if field else []), *[held(got.get(w), k) for w, k in columns.items()]]
                     for to, x in zip(cells, row, strict=True):
                         to.append(x)
                         chars += len(x) if isinstance(x, str) else 8
