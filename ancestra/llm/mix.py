@@ -27,25 +27,30 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Bits of the hash, and bits refined at each level.
 PLACE_BITS, LEVEL_BITS = 60, 10
 
-_encodings: dict[str, object] = {}
+_encodings: dict[int, object] = {}
 
 
-def encoding(path: str):
-    """The tokenizer of a file of ranks, kept per process."""
-    if path not in _encodings:
+def encoding(data: bytes):
+    """The tokenizer of a file's ranks, kept per process."""
+    key = hash(data)
+    if key not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+        _encodings[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[key]
 
 
 def token_counts(docs: DataFrame, ident: str, source: str, text: str, path: str) -> DataFrame:
-    """(doc, source, n_tokens, place) of every document; a null text has 0 tokens, ``source`` is in canonical spelling."""
+    """(doc, source, n_tokens, place) of every document; a null text has 0 tokens, ``source`` is in canonical spelling.
+
+    The file of ranks (a megabyte or two, of fixed size) is read by the driver at ``path`` and broadcast, so executors need no copy.
+    """
+    with open(path, "rb") as f:
+        data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = encoding(data.value)
         for b in batches:
             n = pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc", "source", "n_tokens"])
