@@ -390,6 +390,16 @@ def f_process_features(spark: SparkSession, d: str) -> DataFrame:
     return f.process_features(f.deduplicate(stream(spark, d)))
 
 
+@query
+def f_process_profile(spark: SparkSession, d: str) -> DataFrame:
+    return f.process_profile(f.deduplicate(stream(spark, d)))
+
+
+@query
+def f_fuse(spark: SparkSession, d: str) -> DataFrame:
+    return f.fuse(f.deduplicate(stream(spark, d)), "audit", "camflow", "name").select("seq", "kind", "id", "child", "parent")
+
+
 @query
 def f_artifact_features(spark: SparkSession, d: str) -> DataFrame:
     return f.artifact_features(stream(spark, d))

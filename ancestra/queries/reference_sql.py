@@ -200,6 +200,34 @@ te as (select seq, md5({text("ca")}) as c, md5({text("ga")}) as p, 'Used' as t f
 NOISE = "regexp_matches(@['path'], '^(/tmp|pipe:|/unknown)') or regexp_full_match(@['path'], '.*scoreboard.*|[.]|stdin|[(]null[)]|/dev/null|stderr|stdout')"
 DAY = put("coalesce(a, map())", "day", "strftime(event_time, case when kind = 'edge' then '%d/%m/%Y %H' else '%Y-%m-%d %H:%M:%S' end)")
 
+def profile() -> str:
+    """Features of processes, by DuckDB's own distinct counts."""
+    out = []
+    for name, test in (("used", "r"), ("made", "not r")):
+        for tail, early in (("", ""), ("_beginning", " and early")):
+            w = f"{test}{early}"
+            out += [f"cast(count(*) filter ({w}) as double) as {name}_events{tail}", f"coalesce(sum(z) filter ({w}), 0) as {name}_length{tail}"]
+            out += [f"cast(count(*) filter ({w} and {x}) as double) as {name}_{k}{tail}" for k, x in (("file_events", "f is not null"), ("sensitive_events", "ext in ('doc', 'docx', 'pdf', 'xls', 'xlsx', 'txt', 'csv')"), ("registry_events", "false"), ("network_events", "net"))]
+            out += [f"count(distinct {x}) filter ({w}) as {name}_{k}{tail}" for k, x in (("files", "f"), ("directories", "regexp_extract(f, '^(.*)/[^/]*$', 1)"), ("extensions", "ext"))]
+        out += [f"avg(t - {'lr' if name == 'used' else 'lw'}) filter ({test}) as {name}_between", f"cast(avg(0) filter ({test}) as double) as {name}_spent"]
+    zero = ", ".join(f"coalesce({x.rsplit(' as ', 1)[1]}, 0) as {x.rsplit(' as ', 1)[1]}" for x in out if "between" not in x and "spent" not in x)
+    return f"""with {STREAM}, {FEATURES.replace("as b from w0", "as b, a['operation'] as op from w0")},
+x as (select *, t <= t0 + 1 as early, b['path'] as f, nullif(lower(regexp_extract(b['path'], '[.]([A-Za-z0-9]+)$', 1)), '') as ext, b['path'] is null and b['remote address'] is not null as net from w2),
+y as (select q, {', '.join(out)} from x group by 1),
+d as (select * from w0 where k = 1 and kind = 'edge'),
+st as (select p, c, coalesce(ca['pid'] = pa['pid'], false) as th, ca['name'] as nm, ca['path'] as f from d where a['type'] = 'WasTriggeredBy'),
+ids as (select q as id from y union select p from st union select c from st),
+ends as (select c as q, ca as g, try_cast(a['time'] as double) as t from d union all select p, pa, try_cast(a['time'] as double) from d),
+life as (select q, max(t) - min(t) as life from ends where g['type'] = 'Process' group by 1),
+who as (select q, max(g['name']) as name, max(g['command line']) as command_line, max(g['pid']) as pid, max(g['ppid']) as ppid from ends group by 1),
+us as (select c as q, arg_max(coalesce(pa['name'], pa['uid']), seq) as user from d where a['type'] = 'WasControlledBy' group by 1),
+sn as (select p as q, cast(count(*) filter (not th) as double) as started, cast(count(*) filter (th) as double) as threads, count(distinct nm) filter (not th) as started_names from st group by 1),
+rn as (select distinct st.p as q from st join x on x.q = st.p and not x.r and x.ext in ('exe', 'dll', 'bin', 'sh') and x.f = st.f)
+select ids.id, {zero}, used_between, made_between, used_spent, made_spent, cast(0 as bigint) as registry_set_info, cast(0 as bigint) as registry_set_value, coalesce(started, 0) as started, coalesce(threads, 0) as threads, coalesce(started_names, 0) as started_names,
+rn.q is not null as writes_then_executes, ids.id in (select c from st) as is_new, life, us.user as user, name, command_line, pid, ppid
+from ids left join y on y.q = ids.id left join sn on sn.q = ids.id left join rn on rn.q = ids.id left join life on life.q = ids.id left join us on us.q = ids.id left join who on who.q = ids.id"""
+
+
 SQL = {
     "t_opm_to_prov_tc": transformed(renamed_rows(typed(VERTEX_TYPES, EDGE_TYPES), {"operation": "cdmOperation", "uid": "owner"})),
     "t_prov_tc_to_opm": transformed(renamed_rows(typed({x: k for k, x in VERTEX_TYPES.items()}, {x: k for k, x in EDGE_TYPES.items()}), {"operation": "cdmOperation"})),
@@ -309,6 +337,7 @@ select round(low, 6) as low, round(high, 6) as high, (select count(*) from x whe
     "f_process_features": f"""with {STREAM}, {FEATURES} select q as id, count(*) filter (r) as n_reads, count(*) filter (not r) as n_writes, avg(case when r then t - lr end) as avg_between_reads, avg(case when not r then t - lw end) as avg_between_writes,
 count(distinct b['path']) as n_files, count(distinct nullif(regexp_extract(b['path'], '[.]([A-Za-z0-9]+)$', 1), '')) as n_extensions, count(distinct b['remote address']) as n_hosts, sum(case when r then z else 0 end) as bytes_read, sum(case when not r then z else 0 end) as bytes_written,
 count(*) filter (t <= t0 + 1) as n_beginning, count(distinct case when t <= t0 + 1 then b['path'] end) as n_files_beginning, min(t) as first_time, max(t) as last_time from w2 group by 1""",
+    "f_process_profile": profile(),
     "f_version_on_write": f"with {STREAM}, {ON_WRITE}, " + versioned(f"select seq, a, {bumped('ca', 'nc + 1')} as ca, {bumped('pa', 'np')} as pa from x union all select seq, {CHAIN}, {bumped('ca', 'nc + 1')}, {bumped('ca', 'nc')} from x"),
     "f_version_process": f"with {STREAM}, {ON_READ}, " + versioned(f"select seq, a, {bumped('ca', 'nc + 1')} as ca, pa from x union all select seq, {CHAIN}, {bumped('ca', 'nc + 1')}, {bumped('ca', 'nc')} from x"),
     "f_deduplicate": filtered("k = 1", source="(select *, row_number() over (partition by id order by seq) as k from s)"),

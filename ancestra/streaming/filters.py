@@ -423,3 +423,100 @@ def artifact_features(rows: DataFrame) -> DataFrame:
     used, made = of_type("annotations", "Used"), of_type("annotations", "WasGeneratedBy")
     e = rows.where(is_edge() & (used | made)).select(F.when(used, F.col("parent")).otherwise(F.col("child")).alias("id"), F.when(used, F.col("child")).otherwise(F.col("parent")).alias("p"), used.alias("read"))
     return e.groupBy("id").agg(F.count_if("read").alias("n_reads"), F.count_if(~F.col("read")).alias("n_writes"), F.count_distinct(F.when(F.col("read"), F.col("p"))).alias("n_readers"), F.count_distinct(F.when(~F.col("read"), F.col("p"))).alias("n_writers"))
+
+
+#: Extensions of files of interest, and of programs, where no others are given.
+SENSITIVE = ("doc", "docx", "pdf", "xls", "xlsx", "txt", "csv")
+EXECUTABLE = ("exe", "dll", "bin", "sh")
+#: What is counted of a flow, and of these what is counted for its beginning too.
+FLOW_COUNTS = ("events", "length", "file_events", "sensitive_events", "registry_events", "network_events")
+FLOW_ITEMS = ("files", "directories", "extensions")
+
+
+def process_profile(rows: DataFrame, beginning: float = 1.0, sensitive: tuple[str, ...] = SENSITIVE, executable: tuple[str, ...] = EXECUTABLE) -> DataFrame:
+    """One row of features for every process that reads, writes, or starts or is started by another.
+
+    For reads (``used_``) and writes (``made_``): FLOW_COUNTS and distinct FLOW_ITEMS, each also within ``beginning`` seconds of the
+    process's first flow (``_beginning``), the average time between events and spent in them. Besides: life time, processes and threads started,
+    distinct names of those started, whether it was started here, registry settings, whether it started a program it had written, user, name, command line, pid and ppid.
+
+    Distinct items are counted by grouping twice, so no list of them is held and no row is copied for each count. Edges and flows are
+    read by several parts of this, so they are written out first.
+    A file is an artifact with a path, unless its class is Registry; a network artifact has a remote address.
+    """
+    rows = stored(rows.where(is_edge()))
+    used, made = of_type("annotations", "Used"), of_type("annotations", "WasGeneratedBy")
+    number = lambda a: F.col("annotations")[a].try_cast("double")
+    flows = rows.where(is_edge() & (used | made)).withColumn("p", F.when(used, F.col("child")).otherwise(F.col("parent"))).withColumn("a", F.when(used, F.col("pa")).otherwise(F.col("ca")))
+    registry = F.coalesce(F.lower(F.col("a")["class"]) == "registry", F.lit(False))
+    flows = flows.select("p", "seq", used.alias("read"), number("time").alias("time"), F.coalesce(number("size"), F.lit(0.0)).alias("length"), F.coalesce(number("duration"), F.lit(0.0)).alias("spent"), F.col("annotations")["operation"].alias("operation"), registry.alias("registry"), F.when(~registry, F.col("a")["path"]).alias("path"), (~registry & F.col("a")["path"].isNull() & F.col("a")["remote address"].isNotNull()).alias("network"))
+    first = flows.groupBy(F.col("p").alias("p0")).agg(F.min("time").alias("t0"))
+    flows = flows.join(first, F.col("p") == F.col("p0"))
+    flows = last_before(flows, ["p"], "seq", {"last_read": F.when(F.col("read"), F.col("time")), "last_made": F.when(~F.col("read"), F.col("time"))})
+    flows = flows.withColumn("early", F.coalesce(F.col("time") <= F.col("t0") + beginning, F.lit(False)))
+    ext = F.nullif(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))
+    flows = flows.withColumns({"extensions": ext, "files": F.col("path"), "directories": F.regexp_extract("path", r"^(.*)/[^/]*$", 1)})
+    flows = stored(flows)
+    one = {
+        "events": F.lit(1.0),
+        "length": F.col("length"),
+        "file_events": F.col("path").isNotNull().cast("double"),
+        "sensitive_events": F.coalesce(ext.isin(*sensitive), F.lit(False)).cast("double"),
+        "registry_events": F.col("registry").cast("double"),
+        "network_events": F.col("network").cast("double"),
+    }
+    sums = []
+    for name, test in (("used", F.col("read")), ("made", ~F.col("read"))):
+        for k, x in one.items():
+            sums.append(F.sum(F.when(test, x).otherwise(0.0)).alias(f"{name}_{k}"))
+            sums.append(F.sum(F.when(test & F.col("early"), x).otherwise(0.0)).alias(f"{name}_{k}_beginning"))
+        sums.append(F.avg(F.when(test, F.col("time") - F.col("last_read" if name == "used" else "last_made"))).alias(f"{name}_between"))
+        sums.append(F.avg(F.when(test, F.col("spent"))).alias(f"{name}_spent"))
+    sums += [F.count_if(~F.col("read") & F.col("registry") & (F.col("operation") == op)).alias(n) for n, op in (("registry_set_info", "RegSetInfoKey"), ("registry_set_value", "RegSetValue"))]
+    out = flows.groupBy("p").agg(*sums)
+    for item in FLOW_ITEMS:
+        each = flows.where(F.col(item).isNotNull()).groupBy("p", "read", item).agg(F.max("early").alias("early"))
+        per = each.groupBy(F.col("p").alias("q")).agg(*[F.count_if(t_ & e).alias(f"{n}_{item}{tail}") for n, t_ in (("used", F.col("read")), ("made", ~F.col("read"))) for tail, e in (("", F.lit(True)), ("_beginning", F.col("early")))])
+        out = out.join(per, F.col("p") == F.col("q"), "left").drop("q")
+    starts = rows.where(is_edge() & of_type("annotations", "WasTriggeredBy")).select(F.col("parent").alias("p"), F.col("child").alias("c"), F.coalesce(F.col("ca")["pid"] == F.col("pa")["pid"], F.lit(False)).alias("thread"), F.col("ca")["name"].alias("name"), F.col("ca")["path"].alias("path"))
+    started = starts.groupBy(F.col("p").alias("q")).agg(F.count_if(~F.col("thread")).cast("double").alias("started"), F.count_if("thread").cast("double").alias("threads"))
+    names = starts.where(~F.col("thread") & F.col("name").isNotNull()).groupBy("p", "name").agg(F.lit(1).alias("n")).groupBy(F.col("p").alias("q")).agg(F.count("*").alias("started_names"))
+    wrote = flows.where(~F.col("read") & ext.isin(*executable)).select(F.col("p").alias("wp"), F.col("path").alias("wpath")).distinct()
+    runs = starts.join(wrote, (F.col("p") == F.col("wp")) & (F.col("path") == F.col("wpath"))).select(F.col("p").alias("q")).distinct().withColumn("writes_then_executes", F.lit(True))
+    new = starts.select(F.col("c").alias("q")).distinct().withColumn("is_new", F.lit(True))
+    every = out.select("p").union(starts.select("p")).union(starts.select("c")).distinct().withColumnRenamed("p", "id")
+    ends = F.explode(F.array(F.struct(F.col("child").alias("q"), F.col("ca").alias("a")), F.struct(F.col("parent").alias("q"), F.col("pa").alias("a")))).alias("x")
+    life = rows.where(is_edge()).select(number("time").alias("time"), ends).where(F.col("x.a")["type"] == "Process").groupBy(F.col("x.q").alias("q")).agg((F.max("time") - F.min("time")).alias("life"))
+    agent = F.coalesce(F.col("pa")["name"], F.col("pa")["uid"])
+    user = rows.where(is_edge() & of_type("annotations", "WasControlledBy")).groupBy(F.col("child").alias("q")).agg(F.max_by(agent, F.when(agent.isNotNull(), F.col("seq"))).alias("user"))
+    who = rows.where(is_edge()).select(ends).select("x.q", *[F.col("x.a")[k].alias(k.replace(" ", "_")) for k in ("name", "command line", "pid", "ppid")]).groupBy("q").agg(*[F.max(k).alias(k) for k in ("name", "command_line", "pid", "ppid")])
+    got = every.join(out, F.col("id") == F.col("p"), "left").drop("p")
+    for more in (started, names, runs, new, life, user, who):
+        got = got.join(more, F.col("id") == F.col("q"), "left").drop("q")
+    zero = [c for c in got.columns if c not in ("id", "used_between", "made_between", "used_spent", "made_spent", "life", "user", "name", "command_line", "pid", "ppid", "is_new", "writes_then_executes")]
+    return got.na.fill(0, zero).na.fill(False, ["is_new", "writes_then_executes"])
+
+
+def fuse(rows: DataFrame, first: str, second: str, key: str, reach: int = 5) -> DataFrame:
+    """The stream with every pair of ``fusion`` as one vertex, which has the annotations of both, the second's where they differ, and ``source_reporter`` fused; edges lead to it.
+
+    A fused vertex comes where the later of its two stood. Other elements stay as they are, edges at no fused vertex included.
+    """
+    pairs = stored(fusion(rows, first, second, key, reach))
+    v = rows.where(~is_edge())
+    both = pairs.join(v.select(F.col("id").alias("l_id"), F.col("annotations").alias("la"), F.col("seq").alias("ls")), "l_id").join(v.select(F.col("id").alias("r_id"), F.col("annotations").alias("ra"), F.col("seq").alias("rs"), "source", "event_time"), "r_id")
+    whole = F.map_concat(F.map_filter("la", lambda k, x: ~F.array_contains(F.map_keys("ra"), k) & (k != "source_reporter")), F.map_filter("ra", lambda k, x: k != "source_reporter"), F.create_map(F.lit("source_reporter"), F.lit("fused")))
+    both = stored(both.select("l_id", "r_id", F.greatest("ls", "rs").alias("seq"), "source", whole.alias("annotations"), "event_time"))
+    names = both.select(F.explode(F.array("l_id", "r_id")).alias("old"), F.col("annotations").alias("new"))
+    none = F.lit(None)
+    made = both.select("seq", "source", F.lit("vertex").alias("kind"), vertex_id(F.col("annotations")).alias("id"), none.cast("string").alias("child"), none.cast("string").alias("parent"), "annotations", none.cast(MAP).alias("ca"), none.cast(MAP).alias("pa"), "event_time")
+    rest = v.join(names.select(F.col("old").alias("id")), "id", "left_anti").select(*COLUMNS)
+    e = rows.where(is_edge())
+    for c, a in (("child", "ca"), ("parent", "pa")):
+        e = e.join(names.select(F.col("old").alias(c), F.col("new").alias(f"__{a}")), c, "left")
+    moved = F.col("__ca").isNotNull() | F.col("__pa").isNotNull()
+    new_c, new_p = (F.when(F.col(f"__{a}").isNotNull(), vertex_id(F.col(f"__{a}"))).otherwise(F.col(c)) for c, a in (("child", "ca"), ("parent", "pa")))
+    e = e.withColumns({"__c": new_c, "__p": new_p})
+    e = e.withColumn("id", F.when(moved, edge_id(F.col("__c"), F.col("__p"), F.col("annotations"))).otherwise(F.col("id")))
+    e = e.select("seq", "source", "kind", "id", F.col("__c").alias("child"), F.col("__p").alias("parent"), "annotations", F.coalesce("__ca", "ca").alias("ca"), F.coalesce("__pa", "pa").alias("pa"), "event_time")
+    return rest.unionByName(made).unionByName(e)
