@@ -334,21 +334,23 @@ def java_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
-def aggregate_values(values: Column, how: str) -> Column:
-    """A list of texts as one, ordered by the number each denotes (0 if none): unique, list, minmax, sum or count."""
-    pairs = F.transform(values, lambda x: F.struct(F.coalesce(x.try_cast("double"), F.lit(0.0)).alias("n"), x.alias("t")))
-    ordered = F.transform(F.array_sort(pairs), lambda p: p["t"])
-    if how == "unique":
-        return java_list(F.array_distinct(ordered))
-    if how == "list":
-        return java_list(ordered)
+def aggregate_values(x: Column, how: str) -> Column:
+    """The texts of a group as one, ordered by the number each denotes (0 if none) and itself: unique, list, minmax, sum or count; null if there are none.
+
+    Only unique and list, whose result it is, hold all of a group's values.
+    """
+    number = F.coalesce(x.try_cast("double"), F.lit(0.0))
+    pair = F.when(x.isNotNull(), F.struct(number.alias("n"), x.alias("t")))
+    if how in ("unique", "list"):
+        ordered = F.array_sort((F.collect_set if how == "unique" else F.collect_list)(pair))
+        return F.when(F.size(ordered) > 0, java_list(F.transform(ordered, lambda p: p["t"])))
     if how == "minmax":
-        return F.concat(F.lit("["), F.element_at(ordered, 1), F.lit(", "), F.element_at(ordered, -1), F.lit("]"))
+        return F.concat(F.lit("["), F.min(pair)["t"], F.lit(", "), F.max(pair)["t"], F.lit("]"))
     if how == "sum":
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["n"])
+        total = F.sum(F.when(x.isNotNull(), number))
         return F.concat(F.lit("["), F.when(total == F.floor(total), total.try_cast("bigint").cast("string")).otherwise(total.cast("string")), F.lit("]"))
     if how == "count":
-        return F.concat(F.lit("["), F.size(values).cast("string"), F.lit("]"))
+        return F.when(F.count(x) > 0, F.concat(F.lit("["), F.count(x).cast("string"), F.lit("]")))
     raise ValueError(how)
 
 
@@ -368,10 +370,10 @@ def aggregation(rows: DataFrame, rules: list[tuple[str, str, str]] | None = None
     ends = near.select("nc", F.col("child").alias("old"), "ca", "bc").union(near.select("np", "parent", "pa", "bp")).toDF("v", "old", "a", "b").dropDuplicates(["v", "old"])
 
     def folded(group: DataFrame, ident: str, a: str, b: str, out: str) -> DataFrame:
-        per = group.groupBy(ident).agg(F.any_value(b).alias("b"), *[F.collect_list(F.col(a)[k]).alias(f"k{i}") for i, k in enumerate(keys)])
+        per = group.groupBy(ident).agg(F.any_value(b).alias("b"), *[aggregate_values(F.col(a)[k], how).alias(f"k{i}") for i, (k, _, how) in enumerate(rules)])
         whole = F.col("b")
-        for i, (_, new, how) in enumerate(rules):
-            got = F.when(F.size(f"k{i}") > 0, aggregate_values(F.col(f"k{i}"), how))
+        for i, (_, new, _) in enumerate(rules):
+            got = F.col(f"k{i}")
             whole = F.when(got.isNotNull(), put(whole, new, got)).otherwise(whole)
         return per.select(F.col(ident).alias(f"{out}_id"), whole.alias(out))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ancestra.operators.transformers import EDGE_TYPES, VERTEX_TYPES
+from ancestra.operators.transformers import AGGREGATIONS, EDGE_TYPES, VERTEX_TYPES
 from ancestra.queries.general_sql import _h
 
 BASE = f"""v as (select {_h("hash")} as id, any_value(annotations) as a from vertices where {_h("hash")} is not null group by 1),
@@ -200,6 +200,22 @@ te as (select seq, md5({text("ca")}) as c, md5({text("ga")}) as p, 'Used' as t f
 NOISE = "regexp_matches(@['path'], '^(/tmp|pipe:|/unknown)') or regexp_full_match(@['path'], '.*scoreboard.*|[.]|stdin|[(]null[)]|/dev/null|stderr|stdout')"
 DAY = put("coalesce(a, map())", "day", "strftime(event_time, case when kind = 'edge' then '%d/%m/%Y %H' else '%Y-%m-%d %H:%M:%S' end)")
 
+def fold(group: str, ident: str, a: str, b: str) -> str:
+    """One row a group: ``whole`` is the common annotations with those of the rules aggregated."""
+    lists = ", ".join(f"list_sort(list({{'n': coalesce(try_cast({a}['{k}'] as double), 0), 't': {a}['{k}']}}) filter ({a}['{k}'] is not null)) as k{i}" for i, (k, _, _) in enumerate(AGGREGATIONS))
+    shown = {"minmax": "k{0}[1].t || ', ' || k{0}[-1].t", "sum": "cast(cast(list_sum(list_transform(k{0}, lambda x: x.n)) as bigint) as varchar)", "list": "array_to_string(list_transform(k{0}, lambda x: x.t), ', ')", "count": "cast(len(k{0}) as varchar)"}
+    new = ", ".join(f"{{'key': '{name}', 'value': case when len(k{i}) > 0 then '[' || {shown[how].format(i)} || ']' end}}" for i, (_, name, how) in enumerate(AGGREGATIONS))
+    names = ", ".join(f"'{name}'" for _, name, _ in AGGREGATIONS)
+    return f"select ident, map_from_entries(list_concat(list_filter(map_entries(b), lambda x: x.key not in ({names})), list_filter([{new}], lambda x: x.value is not null))) as whole from (select {ident} as ident, any_value({b}) as b, {lists} from {group} group by 1)"
+
+
+KEYS = [k for k, _, _ in AGGREGATIONS]
+GROUPED = f"""n0 as (select id, ea, c, ca, p, pa, {strip('ea', *KEYS)} as be, {strip('ca', *KEYS)} as bc, {strip('pa', *KEYS)} as bp from flat),
+n1 as (select *, {vid('bc', 'c')} as nc, {vid('bp', 'p')} as np from n0), n2 as (select *, md5(nc || ',' || {text('be')} || ',' || np) as ne from n1),
+en as (select v, old, any_value(a) as a, any_value(b) as b from (select nc as v, c as old, ca as a, bc as b from n2 union all select np, p, pa, bp from n2) group by 1, 2),
+vs as ({fold('en', 'v', 'a', 'b')}), es as ({fold('n2', 'ne', 'ea', 'be')}), pairs as (select distinct ne, nc, np from n2)"""
+
+
 def profile() -> str:
     """Features of processes, by DuckDB's own distinct counts."""
     out = []
@@ -232,6 +248,7 @@ SQL = {
     "t_opm_to_prov_tc": transformed(renamed_rows(typed(VERTEX_TYPES, EDGE_TYPES), {"operation": "cdmOperation", "uid": "owner"})),
     "t_prov_tc_to_opm": transformed(renamed_rows(typed({x: k for k, x in VERTEX_TYPES.items()}, {x: k for k, x in EDGE_TYPES.items()}), {"operation": "cdmOperation"})),
     "t_sanitization": transformed(f"select {hidden('ea')} as ea, c, {hidden('ca')} as ca, p, {hidden('pa')} as pa from (select {DATED} as ea, c, ca, p, pa from flat)"),
+    "t_aggregation": transformed("select es.whole as ea, nc as c, x.whole as ca, np as p, y.whole as pa from pairs join es on es.ident = ne join vs x on x.ident = nc join vs y on y.ident = np", GROUPED),
     "t_only_agents": transformed("select map {'type': 'ActedOnBehalfOf'} as ea, g as c, x.a as ca, h as p, y.a as pa from pairs join names x on x.agent = g join names y on y.agent = h", AGENTS, True),
     "t_only_addresses": "with o as (select l_orderkey, l_linenumber, min('s' || cast(l_suppkey as varchar)) as payee from lineitem group by 1, 2) select distinct payee, 'c' || cast(o_custkey as varchar) as payer, cast(cast(l_quantity as integer) as varchar) as value from lineitem join o using (l_orderkey, l_linenumber) join orders on l_orderkey = o_orderkey",
     "t_blacklist_default": transformed(stripped(no("ca", NOISE) + " and " + no("pa", NOISE))),
