@@ -43,6 +43,21 @@ per as (select ident, min(strftime(event_time, '%Y-%m')) as period from e where
 select r.endpoint, per.period, count(*) as n_refs, cast(count(l.ident) as bigint) as n_orphans
 from (select distinct ident, endpoint from refs) r left join lost l on l.ident = r.ident and l.endpoint = r.endpoint join per on per.ident = r.ident group by all"""
 
+WRAPPED = r"""(json_type(v) = 'OBJECT' and len(json_keys(v)) = 1 and (json_keys(v)[1] in ('array', 'map', 'string', 'bytes', 'int', 'long', 'float', 'double', 'boolean', 'enum', 'record') or regexp_full_match(json_keys(v)[1], '\w+([.]\w+)+')))"""
+
+P3 = f"""with recursive t(id, path, parent, k, v) as (
+  select record_id, '', '', 'v', try_cast(datum as json) from cdm_record where json_valid(datum) and json_type(datum) = 'OBJECT'
+  union all select id, x.path, x.parent, x.k, x.v from (select id, unnest(case
+    when {WRAPPED} then [{{'path': path, 'parent': parent, 'k': k, 'v': json_extract(v, '$."' || json_keys(v)[1] || '"')}}]
+    when k = 'a' and json_type(v) = 'VARCHAR' and left(trim(v ->> '$', chr(9) || chr(10) || chr(13) || ' '), 1) in ('[', '{{') and json_valid(v ->> '$') then [{{'path': path, 'parent': parent, 'k': 'b', 'v': cast(v ->> '$' as json)}}]
+    when k in ('a', 'b') and json_type(v) = 'ARRAY' then list_transform(range(cast(json_array_length(v) as bigint)), lambda i: {{'path': path || '[' || i || ']', 'parent': parent, 'k': 'i', 'v': json_extract(v, '$[' || i || ']')}})
+    when k in ('a', 'b') and json_type(v) <> 'NULL' then [{{'path': path || '[0]', 'parent': parent, 'k': 'i', 'v': v}}]
+    when k in ('v', 'i') and json_type(v) = 'OBJECT' then list_transform(json_keys(v), lambda n: {{'path': case when path = '' then n else path || '.' || n end, 'parent': case when k = 'i' then path else parent end,
+      'k': case when n in ('hostIdentifiers', 'interfaces', 'ipAddresses', 'groupIds', 'importedLibraries', 'hashes', 'names', 'parameters', 'components') then 'a' else 'v' end, 'v': json_extract(v, '$."' || n || '"')}})
+    when k in ('v', 'i') and json_type(v) = 'ARRAY' then list_transform(range(cast(json_array_length(v) as bigint)), lambda i: {{'path': path || '[' || i || ']', 'parent': case when k = 'i' then path else parent end, 'k': 'v', 'v': json_extract(v, '$[' || i || ']')}})
+    end) as x from t))
+select id as record_id, path as item_path, parent as parent_path from t where k = 'i' and json_type(v) <> 'NULL' and not {WRAPPED}"""
+
 P4 = """with a as (select 'vertex' as owner, * from vertex_anno union all select 'edge', * from edge_anno),
 t as (select owner, id, lower(trim(field, ' ' || chr(9) || chr(10) || chr(13))) as field, trim(value, ' ' || chr(9) || chr(10) || chr(13)) as x from a),
 n as (select owner, id, field, case
@@ -106,6 +121,7 @@ SQL = {
     "p1_descendants": P1_DESC,
     "p2_found": P2,
     "p2_report": P2_REPORT,
+    "p3_found": P3,
     "p4_found": P4,
     "p5_found": P5,
     "p5_kept": P5_KEPT,
