@@ -197,7 +197,8 @@ class Session:
         g = self.graph(args[1])
         if what in ("link", "create"):
             host = self._host(_text(args[2]))
-            there = host.vertices_by_id(*map(_text, args[3:])) if len(args) > 3 else host.base
+            named = [x.text for x in args[3:] if isinstance(x, Text)]  # ids of vertices there; without any it is all of the host
+            there = host.vertices_by_id(*named) if named else host.base
             g.remotes = g.remotes | {_Linked(_text(args[2]), there)}
         elif what in ("unlink", "clear"):
             name = _text(args[2]) if len(args) > 2 else None

@@ -175,3 +175,23 @@ def test_closing_edges_in_order():
         src, dst, k = cycles.ranks(edges)
         assert cycles.closing(src, dst, k).tolist() == want
     assert cycles.closing(*cycles.ranks([])).tolist() == []
+
+
+def test_fused_vertices_and_the_edges_to_them(spark):
+    vs = [("l1", "Left", {"name": "X", "a": "1", "k": "l"}), ("l2", "left", {"name": "y"}), ("l3", "left", {"a": "2"}), ("r1", "right", {"name": "x", "k": "r"}), ("o", "other", {"name": "x"})]
+    rows = [(i, s, "vertex", k, None, None, a, None, None, None) for i, (k, s, a) in enumerate(vs)]
+    at = {k: a for k, _, a in vs}
+    rows += [(10 + i, "left", "edge", f"e{i}", c, p, {"t": "u"}, at[c], at[p], None) for i, (c, p) in enumerate([("l1", "l2"), ("o", "r1"), ("o", "l2")])]
+    got = {r.seq: r for r in f.fuse(spark.createDataFrame(rows, SCHEMA), "left", "right", "name").collect()}
+    fused = {"name": "x", "a": "1", "k": "r", "source_reporter": "fused"}
+    assert sorted(got) == [1, 2, 3, 4, 10, 11, 12] and got[3].annotations == fused and got[3].id not in at
+    assert (got[10].child, got[10].ca, got[10].parent) == (got[3].id, fused, "l2") and (got[11].parent, got[11].pa) == (got[3].id, fused)
+    assert got[12].id == "e2" and got[10].id != "e0" and got[11].id != "e1"
+    empty = spark.createDataFrame([], SCHEMA)
+    assert f.fuse(empty, "left", "right", "name").collect() == []
+    assert f.process_profile(empty).collect() == [] and f.deduplicate(empty).collect() == []
+
+
+def test_the_first_copy_of_each_element(spark):
+    rows = [(s, "s", "vertex", k, None, None, {"n": str(s)}, None, None, None) for s, k in ((5, "a"), (3, "a"), (4, "b"), (1, None))]
+    assert sorted((r.id, r.seq, r.annotations["n"]) for r in f.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()) == [("a", 3, "3"), ("b", 4, "4")]
