@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ancestra import session
 from ancestra.functions.identity import canon_hash, edge_id, vertex_id
 from ancestra.operators import federation, stats
 from ancestra.operators import transformers as t
@@ -34,17 +35,11 @@ def _state(spark: SparkSession, path: str) -> int:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
 
 
-def _there(spark: SparkSession, s: Store) -> bool:
-    """Whether a store's files haven't been cleared."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(s.edges.inputFiles()[0]) if s.edges.inputFiles() else None
-    return at is not None and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def store(spark: SparkSession, d: str) -> Store:
     """The store of a folder of tables, loaded once a session: repeated rows are sorted out, and vertices and edges written in the order of their keys."""
     paths = [f"{d}/{t}.parquet" for t in ("vertices", "edges")]
-    key = (spark.sparkContext.applicationId, *[(p, _state(spark, p)) for p in paths])
-    if key not in _stores or not _there(spark, _stores[key]):
+    key = (spark.sparkContext.applicationId, session.cleared, *[(p, _state(spark, p)) for p in paths])
+    if key not in _stores:
         v = spark.read.parquet(paths[0]).select(canon_hash("hash").alias("id"), "annotations", "ref")
         e = spark.read.parquet(paths[1]).select(canon_hash("hash").alias("id"), canon_hash("childvertexhash").alias("child"), canon_hash("parentvertexhash").alias("parent"), "annotations", "ref")
         _stores[key] = Store.of(v, e).kept()

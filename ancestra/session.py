@@ -52,8 +52,14 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: How often tables were cleared; what is kept by reference to them goes with it.
+cleared = 0
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables this application has written in the shared folder: results that weren't computed to the end can't be any more."""
+    global cleared
+    cleared += 1
     at = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

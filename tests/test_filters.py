@@ -1,6 +1,7 @@
 """Stream filters against brute force over random sequences, and their streaming forms."""
 
 import json
+import os
 import random
 
 import pytest
@@ -150,6 +151,32 @@ def test_streams(spark, tmp_path):
     assert sorted(r.seq for r in spark.table("kept").collect()) == [0, 2, 3]
 
 
+def test_streams_of_runs_and_versions(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    proc, art = {"type": "Process", "n": "p"}, {"type": "Artifact", "path": "/x"}
+    rows = []
+    for i, o in enumerate("rrwwrwrr"):
+        read = o == "r"
+        rows.append({"seq": i, "source": "s", "kind": "edge", "id": f"e{i}", "child": "p" if read else "x", "parent": "x" if read else "p", "annotations": {"type": "Used" if read else "WasGeneratedBy", "i": str(i)}, "ca": proc if read else art, "pa": art if read else proc, "event_time": f"2024-01-01T00:00:0{i}Z"})
+    for k, part in enumerate((rows[:3], rows[3:])):  # two batches: the state has to go on
+        (src / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        os.utime(src / f"{k}.json", (1000 + k, 1000 + k))  # a stream takes files in the order of their times
+    live = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(src))
+    batch = spark.read.schema(SCHEMA).json(str(src))
+
+    def result(df, name):
+        df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    got = result(stateful.io_runs(live(), "path"), "runs")
+    assert sorted(r.seq for r in got.collect()) == seqs(f.io_runs(batch, "path")) == [0, 2, 4, 5, 6]
+    got = result(stateful.version_process(live()), "versions")
+    want = f.version_process(batch).where("kind = 'edge'")
+    cols = ["seq", "id", "child", "parent"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect())) and got.count() == 10
+
+
 def test_cut_rounds_of_cycle_avoidance_raise(spark):
     df = edges(spark, [("a", "b", {}), ("b", "c", {}), ("a", "b", {})])
     assert seqs(f.cycle_avoidance(df, 2)) == [0, 1, 2]

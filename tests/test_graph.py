@@ -1,5 +1,6 @@
 """The graph engine on a five-vertex graph whose results were worked out by hand, and on random graphs against brute force."""
 
+import os
 import random
 
 import pytest
@@ -323,3 +324,17 @@ def test_remote_save_and_transform(spark, store, tmp_path):
     assert len(ids(s.graphs["$t"])[1]) == 6 and len(ids(s.graphs["$p"])[0]) == 2
     s.run("$src = $base.getVertex(name = 'john'); $q = $base.transform(Prune, '', $src, 'descendants', 1)")
     assert len(ids(s.graphs["$q"])[1]) == 8  # the store now also has the converted graph: 12 edges, 4 of them at john
+
+
+def test_a_store_is_loaded_once_and_again_when_cleared(spark):
+    from ancestra import session
+    from ancestra.queries import reference
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.exists(d):
+        pytest.skip("no test data")
+    first = reference.store(spark, d)
+    assert reference.store(spark, d) is first
+    n = first.edges.count()
+    session.clear(spark)
+    assert reference.store(spark, d) is not first and reference.store(spark, d).edges.count() == n
