@@ -52,6 +52,19 @@ QUERIES |= {
 }
 
 
+@query
+def s_jdbc(spark: SparkSession, d: str) -> DataFrame:
+    """Through a relational database: that of ``spark.ancestra.jdbc``, or on a local master one in memory that comes with Spark."""
+    url = spark.conf.get("spark.ancestra.jdbc", None)
+    own = {} if url else {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    if not url and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.ancestra.jdbc to a database all executors reach")
+    url = url or f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    s = store(spark, d)
+    writers.write_jdbc(s.vertices, s.edges, url, own)
+    return _content(readers.read_jdbc(spark, url, own))
+
+
 def _written(write: Callable, only: str = "") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         s, path = store(spark, d), _place(spark)

@@ -28,6 +28,7 @@ ATTRIBUTES = """array_to_string(list_transform(list_sort(list_filter(map_entries
 SQL = {
     "s_parquet": content(),
     "s_messages": content(),
+    "s_jdbc": content(),
     "s_json": content(TYPED, TYPED, NAMED, True),
     "s_dot": content(named=True),
     "s_text": content(),
