@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ancestra.functions.predicates import Predicate, has_keys
-from ancestra.session import Pile, cut, stored
+from ancestra.session import Pile, cut, stored, tasks_of
 
 #: Frontiers of up to this many ids are a filter on the scan of links.
 FEW = 10
@@ -48,8 +48,8 @@ class Store:
 
     def kept(self) -> Store:
         """The same store written out once, repeated rows gone: vertices in the order of id, edges in that of child and id, a hot child spread over files."""
-        v, e = self.vertices, self.edges
-        return Store(stored(v.repartitionByRange("id").sortWithinPartitions("id")), stored(e.repartitionByRange("child", "id").sortWithinPartitions("child", "id")))
+        v, e, n = self.vertices, self.edges, tasks_of(self.spark)
+        return Store(stored(v.repartitionByRange(n, "id").sortWithinPartitions("id")), stored(e.repartitionByRange(n, "child", "id").sortWithinPartitions("child", "id")))
 
     def links(self, way: str) -> DataFrame:
         """(id, src, dst) of all edges in the direction of a walk, written once in the order of src and id."""
@@ -84,7 +84,7 @@ class Store:
 def _sorted_links(edges: DataFrame, way: str) -> DataFrame:
     src, dst = ("child", "parent") if way == "a" else ("parent", "child")
     rows = edges.select("id", F.col(src).alias("src"), F.col(dst).alias("dst"))
-    return stored(rows.repartitionByRange("src", "id").sortWithinPartitions("src", "id"))
+    return stored(rows.repartitionByRange(tasks_of(edges.sparkSession), "src", "id").sortWithinPartitions("src", "id"))
 
 
 def _semi(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
