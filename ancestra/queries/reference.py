@@ -325,15 +325,20 @@ QUERIES |= {
 _streams: dict[tuple, DataFrame] = {}
 
 
+def _log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The message log as rows of elements without the annotations of ends, and the vertices that have them."""
+    x = spark.read.parquet(f"{d}/graph_element.parquet")
+    rows = x.select("seq", "source", "kind", canon_hash(F.col("element")["hash"]).alias("id"), canon_hash(F.col("element")["childvertexhash"]).alias("child"), canon_hash(F.col("element")["parentvertexhash"]).alias("parent"), F.col("element")["annotations"].alias("annotations"), "event_time")
+    v = spark.read.parquet(f"{d}/vertices.parquet").select(canon_hash("hash").alias("id"), "annotations")
+    return rows.where("kind = 'vertex' or (child is not null and parent is not null)"), v
+
+
 def stream(spark: SparkSession, d: str) -> DataFrame:
     """The message log as rows of elements, an edge with the annotations of both ends, as filters meet them; put together and written once a session."""
     paths = [f"{d}/{t}.parquet" for t in ("graph_element", "vertices")]
     key = (spark.sparkContext.applicationId, session.cleared, *[(p, _state(spark, p)) for p in paths])
     if key not in _streams:
-        x = spark.read.parquet(paths[0])
-        rows = x.select("seq", "source", "kind", canon_hash(F.col("element")["hash"]).alias("id"), canon_hash(F.col("element")["childvertexhash"]).alias("child"), canon_hash(F.col("element")["parentvertexhash"]).alias("parent"), F.col("element")["annotations"].alias("annotations"), "event_time")
-        v = spark.read.parquet(paths[1]).select(canon_hash("hash").alias("id"), "annotations")
-        whole = f.elements_of(rows.where("kind = 'vertex' or (child is not null and parent is not null)"), v)
+        whole = f.elements_of(*_log(spark, d))
         _streams[key] = session.stored(whole.repartitionByRange(session.tasks_of(spark), "seq"))
     return _streams[key]
 
@@ -442,7 +447,8 @@ def f_llvm_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def f_graph_finesse(spark: SparkSession, d: str) -> DataFrame:
-    return f.graph_finesse(f.deduplicate(stream(spark, d))).select("seq", "kind", "id")
+    rows, v = _log(spark, d)
+    return f.graph_finesse(f.deduplicate(rows), vertices=v).select("seq", "kind", "id")
 
 
 @query
