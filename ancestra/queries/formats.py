@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,15 +59,27 @@ QUERIES |= {
 
 @query
 def s_jdbc(spark: SparkSession, d: str) -> DataFrame:
-    """Through a relational database: that of ``spark.ancestra.jdbc``, or on a local master one in memory that comes with Spark."""
-    url = spark.conf.get("spark.ancestra.jdbc", None)
-    own = {} if url else {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    if not url and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.ancestra.jdbc to a database all executors reach")
-    url = url or f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    s = store(spark, d)
-    writers.write_jdbc(s.vertices, s.edges, url, own)
-    return _content(readers.read_jdbc(spark, url, own))
+    """Through a relational database: that of ``spark.ancestra.jdbc``, which all executors must reach, or else one in a folder of the driver's, by what comes with Spark.
+
+    On a local master the tasks write and read that, elsewhere the driver does.
+    """
+    s, url = store(spark, d), spark.conf.get("spark.ancestra.jdbc", None)
+    if url:
+        writers.write_jdbc(s.vertices, s.edges, url)
+        return _content(readers.read_jdbc(spark, url))
+    master = spark.sparkContext.master
+    far = not master.startswith("local") or master.startswith("local-cluster")
+    own = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    folder = tempfile.mkdtemp(prefix="ancestra-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    url = f"jdbc:derby:{folder}/db"
+    writers.write_jdbc(s.vertices, s.edges, f"{url};create=true", own, by_driver=far)
+    got = readers.read_jdbc(spark, url, own, by_driver=far)
+    if far:  # nothing is read from it any more
+        with contextlib.suppress(Py4JJavaError):  # the database says by an error that it is closed
+            spark._jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(f"{url};shutdown=true", spark._jvm.java.util.Properties())
+        shutil.rmtree(folder, ignore_errors=True)
+    return _content(got)
 
 
 def _written(write: Callable, only: str = "") -> Callable[[SparkSession, str], DataFrame]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ancestra.functions.identity import edge_id, reference_id, vertex_id
 from ancestra.operators.graph import Store
+from ancestra.session import Pile
+from ancestra.sources.writers import PIECE, jdbc_options
 
 MAP = "map<string,string>"
 #: Line formats.
@@ -267,12 +269,36 @@ def read_parquet(spark: SparkSession, path: str) -> Store:
     return Store(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
 
 
-def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> Store:
-    """A store written by ``writers.write_jdbc``, read by 16 tasks a table, each a range of first letters of ids; together the ranges hold every id."""
+def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None, by_driver: bool = False) -> Store:
+    """A store written by ``writers.write_jdbc``, read by 16 tasks a table, each a range of first letters of ids; together the ranges hold every id.
+
+    With ``by_driver``, for a database that only the driver reaches, it reads the tables at once and stores them piece by piece.
+    """
     marks = "123456789abcdef"
     c = '"id"'  # quoted as the SQL standard has it, as Spark made the column
     ranges = [f"{c} < '{marks[0]}'", *[f"{c} >= '{a}' and {c} < '{b}'" for a, b in zip(marks, marks[1:], strict=False)], f"{c} >= '{marks[-1]}'"]
     own = F.from_json("annotations", MAP).alias("annotations")
-    v = spark.read.jdbc(url, "vertices", predicates=ranges, properties=properties or {}).select("id", own)
-    e = spark.read.jdbc(url, "edges", predicates=ranges, properties=properties or {}).select("id", "child", "parent", own)
+    get = lambda table, *cols: _got_by_driver(spark, url, table, properties or {}, cols) if by_driver else spark.read.jdbc(url, table, predicates=ranges, properties=properties or {})
+    v = get("vertices", "id", "annotations").select("id", own)
+    e = get("edges", "id", "child", "parent", "annotations").select("id", "child", "parent", own)
     return Store.of(v, e)
+
+
+def _got_by_driver(spark: SparkSession, url: str, table: str, properties: dict[str, str], cols: tuple[str, ...]) -> DataFrame:
+    """Columns of text of a table."""
+    jvm = spark._jvm
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in cols))
+    schema = empty._jdf.schema()
+    dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    connection = dialect.createConnectionFactory(jdbc_options(spark, url, table, properties)).apply(-1)
+    pile = Pile(empty)
+    try:
+        names = ", ".join(dialect.quoteIdentifier(c) for c in cols)
+        found = connection.createStatement().executeQuery(f"select {names} from {table}")
+        rows = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(found, schema).grouped(PIECE)
+        while rows.hasNext():
+            some = jvm.scala.jdk.javaapi.CollectionConverters.asJava(rows.next())
+            pile.add(DataFrame(spark._jsparkSession.createDataFrame(some, schema), spark))
+    finally:
+        connection.close()
+    return pile.read()

@@ -1,6 +1,9 @@
 """Readers and writers: round trips and the fine print of each format."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +71,44 @@ def test_parquet_and_messages(spark, store, tmp_path):
     assert content(readers.read_elements_json(spark, str(tmp_path / "m"))) == content(store)
 
 
+def test_database_by_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "PIECE", 2)
+    monkeypatch.setattr(readers, "PIECE", 2)
+    v = spark.createDataFrame([(f"{i:x}" * 32, {"type": "Process", "n": 'a "b", é\n'} if i % 3 else None if i % 2 else {}) for i in range(11)], "id string, annotations map<string,string>").repartition(3)
+    e = spark.createDataFrame([("d" * 32, "a" * 32, "b" * 32, {"type": "Used", "x": ""})], "id string, child string, parent string, annotations map<string,string>")
+    url, own = f"jdbc:derby:{tmp_path}/db", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = lambda d: sorted((r.id, sorted((r.annotations or {"none": ""}).items())) for r in d.collect())
+    writers.write_jdbc(v, e, f"{url};create=true", own, by_driver=True)
+    for by_driver in (True, False):
+        got = readers.read_jdbc(spark, url, own, by_driver=by_driver)
+        assert rows(got.vertices) == rows(v) and rows(got.edges) == rows(e)
+    writers.write_jdbc(v.limit(0), e.limit(0), f"jdbc:derby:{tmp_path}/none;create=true", own, by_driver=True)
+    none = readers.read_jdbc(spark, f"jdbc:derby:{tmp_path}/none", own, by_driver=True)
+    assert none.vertices.count() == none.edges.count() == 0
+
+
+def test_database_on_a_cluster(spark, store, tmp_path):
+    """Executors in JVMs of their own don't reach the driver's database."""
+    store.vertices.withColumnRenamed("id", "hash").write.parquet(str(tmp_path / "vertices.parquet"))
+    store.edges.select(F.col("id").alias("hash"), F.col("child").alias("childvertexhash"), F.col("parent").alias("parentvertexhash"), "annotations", "ref").write.parquet(str(tmp_path / "edges.parquet"))
+    run = """if True:
+        import sys
+        from pyspark.sql import SparkSession
+        from ancestra.queries import formats
+        d = sys.argv[1]
+        conf = {"spark.master": "local-cluster[2,1,1024]", "spark.checkpoint.dir": f"file://{d}/shared", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.driver.host": "127.0.0.1"}
+        spark = SparkSession.builder.config(map=conf).getOrCreate()
+        formats.QUERIES["s_jdbc"](spark, d).write.parquet(f"{d}/out")
+        spark.stop()
+    """
+    env = {k: x for k, x in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    got = subprocess.run([sys.executable, "-c", run, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert got.returncode == 0, got.stderr[-2000:]
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in out.where("kind = 'vertex'").collect()) == ["a" * 32, "b" * 32, "c" * 32]
+    assert [(r.child, r.parent, r.text) for r in out.where("kind = 'edge'").collect()] == [("a" * 32, "b" * 32, "{time=1, type=Used}")]
+
+
 def test_dsl_lines(spark, tmp_path):
     p = write(tmp_path, "x.dsl", "type:Process id:1 name:root\\ process cmd:a\\:b\ntype:Artifact id:2\nTYPE:Used from:1 to:2 op:read op:write\ntype:Nothing id:3\n\nnonsense\n")
     s = readers.read_dsl(spark, p)
