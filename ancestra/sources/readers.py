@@ -6,6 +6,7 @@ format are left out. Elements known by a name of their own get the id of that na
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -299,6 +300,9 @@ def _got_by_driver(spark: SparkSession, url: str, table: str, properties: dict[s
         while rows.hasNext():
             some = jvm.scala.jdk.javaapi.CollectionConverters.asJava(rows.next())
             pile.add(DataFrame(spark._jsparkSession.createDataFrame(some, schema), spark))
+            del some
+            gc.collect()  # the piece's DataFrames, which hold its rows in the JVM
+            jvm.System.gc()  # else the heap grows as far as it may, whatever is held
     finally:
         connection.close()
     return pile.read()
